@@ -168,8 +168,11 @@ def spans(model: crf.Model, describe: Describe, texts: list[str]) -> list[list[t
             else:
                 now = [tag[2:], start, stop]
                 found.append(now)  # type: ignore[arg-type]
-        exact = []
+        exact: list[tuple[str, int, int]] = []
         for kind, start, stop in found:
+            if kind == "person_name":
+                start += len(text[start:stop]) - len(text[start:stop].lstrip(" ,;:-\n"))
+                stop -= len(text[start:stop]) - len(text[start:stop].rstrip(" ,;:-\n"))
             if kind == "person_name" and exact and exact[-1][0] == "street_address" and re.fullmatch(r",\s*(?:\d{4,6}\s+)?", text[exact[-1][2] : start]):
                 continue  # the town after a street
             if (e := _checked(text, kind, start, stop)) and (not exact or e[0] >= exact[-1][2]):
