@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import pii
+from weftline.llm import pairs, pii
 from weftline.sources.tables import table
 
 
@@ -16,6 +16,10 @@ def p6_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.mask(table(spark, d, "requests").select("row_seq", "request_id", "request_body"), table(spark, d, "name_list")).drop("request_body")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_masked)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.find(table(spark, d, "inference_requests"), table(spark, d, "inference_responses"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_masked, p7_found)}
 
 SQL: dict[str, str] = {}
