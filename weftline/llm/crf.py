@@ -175,9 +175,18 @@ def train(sequences: Sequence[Sequence[str]], tags: Sequence[Sequence[str]], des
     return Model(labels, features, weights.astype(np.float32), triples.astype(np.float32), classes, transition.astype(np.float32), start.astype(np.float32))
 
 
-def viterbi(model: Model, sequences: Sequence[Sequence[str]], describe: Callable[[str], list[str]], classify: Callable[[str], int], budget: int = 200_000) -> list[np.ndarray]:
-    """The best label numbers of each sequence; sequences of like length are decoded together, ``budget`` places at a time."""
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(sequences)
+def viterbi(model: Model, sequences: Sequence[Sequence[str]], describe: Callable[[str], list[str]], classify: Callable[[str], int], budget: int = 200_000, plain: str = "O") -> list[np.ndarray | None]:
+    """The best label numbers of each sequence; sequences of like length are decoded together, ``budget`` places at a time.
+
+    None stands for a sequence whose best labels are all ``plain``. Most are recognised without a Viterbi pass: where
+    at every place the best other label, with twice the most a transition can gain over plain to plain, scores
+    less than plain, no path through another label can win.
+    """
+    out: list[np.ndarray | None] = [None] * len(sequences)
+    o = model.labels.index(plain)
+    others = [i for i in range(len(model.labels)) if i != o]
+    gain = 2 * max(0.0, float(max(model.transition.max(), (model.transition + model.start[:, None]).max()) - model.transition[o, o])) + 1e-3
+    turned = np.ascontiguousarray(model.transition.T)
     filled = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: len(sequences[i]))
     if not filled:
         return out
@@ -191,14 +200,22 @@ def viterbi(model: Model, sequences: Sequence[Sequence[str]], describe: Callable
             end += 1
         ids, lengths = _padded(coded[at:end])
         scores = _emissions(tables, model.triples, ids, _triples(kinds, model.classes, ids))
+        inside = np.arange(ids.shape[1])[None, :] < lengths[:, None]
+        open_ = (((scores[:, :, others].max(2) + gain) >= scores[:, :, o]) & inside).any(1)
+        which = at + np.flatnonzero(open_)
+        at = end
+        if not len(which):
+            continue
+        scores, lengths = scores[open_], lengths[open_]
         b, t, n = scores.shape
         best = scores[:, 0] + model.start
         back = np.zeros((b, t, n), dtype=np.int8)
         rows = np.arange(b)
         for k in range(1, t):
-            step = best[:, :, None] + model.transition[None]
-            back[:, k] = step.argmax(1)
-            new = step.max(1) + scores[:, k]
+            step = best[:, None, :] + turned[None]
+            came = step.argmax(2)
+            back[:, k] = came
+            new = np.take_along_axis(step, came[:, :, None], 2)[:, :, 0] + scores[:, k]
             best = np.where((k < lengths)[:, None], new, best)
         path = np.zeros((b, t), dtype=np.int64)
         now = best.argmax(1)
@@ -206,6 +223,7 @@ def viterbi(model: Model, sequences: Sequence[Sequence[str]], describe: Callable
             path[:, k] = now
             now = np.where(k < lengths, back[rows, k, now], now) if k else now
         for j in range(b):
-            out[filled[at + j]] = path[j, : lengths[j]]
-        at = end
+            labels = path[j, : lengths[j]]
+            if (labels != o).any():
+                out[filled[which[j]]] = labels
     return out

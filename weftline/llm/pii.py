@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from json.decoder import scanstring
 
 import numpy as np
 import pandas as pd
@@ -149,17 +150,15 @@ def _checked(text: str, kind: str, start: int, stop: int) -> tuple[int, int] | N
 
 def spans(model: crf.Model, describe: Describe, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """(type, start, stop) of the personal information in each text, in order, without overlaps."""
-    cut = [tokens(t) for t in texts]
-    paths = crf.viterbi(model, [[w for w, _, _ in c] for c in cut], describe, classify)
-    out = []
-    for text, places, path in zip(texts, cut, paths):
-        found: list[tuple[str, int, int]] = []
-        now: list | None = None
-        named = path != model.labels.index("O")
-        if not named.any():
-            out.append(found)
+    paths = crf.viterbi(model, [TOKEN.findall(t) for t in texts], describe, classify)
+    out: list[list[tuple[str, int, int]]] = []
+    for text, path in zip(texts, paths):
+        if path is None:
+            out.append([])
             continue
-        for (_, start, stop), label in zip(places, path):
+        found: list[list] = []
+        now: list | None = None
+        for (_, start, stop), label in zip(tokens(text), path):
             tag = model.labels[label]
             if tag == "O":
                 now = None
@@ -167,7 +166,7 @@ def spans(model: crf.Model, describe: Describe, texts: list[str]) -> list[list[t
                 now[2] = stop
             else:
                 now = [tag[2:], start, stop]
-                found.append(now)  # type: ignore[arg-type]
+                found.append(now)
         exact: list[tuple[str, int, int]] = []
         for kind, start, stop in found:
             if kind == "person_name":
@@ -192,7 +191,7 @@ def literals(body: str) -> list[tuple[int, int, str]]:
         json.loads(body, parse_int=len)
     except (ValueError, RecursionError):
         return [(0, len(body), body)]
-    return [(m.start(), m.end(), json.loads(m.group(), strict=False)) for m in LITERAL.finditer(body)]
+    return [(m.start(), m.end(), scanstring(body, m.start() + 1, False)[0]) for m in LITERAL.finditer(body)]
 
 
 def raw_offsets(literal: str) -> list[int]:
