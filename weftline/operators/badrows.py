@@ -23,7 +23,7 @@ END_POINTS = ("/v1/responses", "/v1/chat/completions", "/v1/embeddings", "/v1/co
 JOB_ID = re.compile(r"batch_[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 _FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
 GRAMMAR = re.compile(f"{_FIELD}(?:,{_FIELD})*+")
-RESULT = "file_id string, line bigint, reason string, detail string, request_id string, model string, job_id string, end_point string, request_body string, status int"
+RESULT = "file_id string, line string, reason string, detail string, request_id string, model string, job_id string, end_point string, request_body string, status int"
 
 
 class Invalid(ValueError):
@@ -170,7 +170,7 @@ def _parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file_id, line, text in zip(pdf["file_id"], pdf["line"], pdf["raw_text"]):
             x = parse_record(text)
             rows.append((file_id, line, x.reason, x.detail, *x.values))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"line": "Int64", "status": "Int32"})
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"status": "Int32"})
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     File and line are passed through, null or repeated as they are. Texts of any length and JSON of any depth are
     read whole.
     """
-    return lines.select(F.col("file_id").cast("string").alias("file_id"), F.col("line").cast("bigint").alias("line"), "raw_text").mapInPandas(_parse_all, RESULT)
+    return lines.select(F.col("file_id").cast("string").alias("file_id"), F.col("line").cast("bigint").cast("string").alias("line"), "raw_text").mapInPandas(_parse_all, RESULT).withColumn("line", F.col("line").cast("bigint"))
 
 
 def split_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
