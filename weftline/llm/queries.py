@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import pairs, pii
+from weftline.llm import pairs, pii, spam
 from weftline.sources.tables import table
 
 
@@ -20,6 +20,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.find(table(spark, d, "inference_requests"), table(spark, d, "inference_responses"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_masked, p7_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.find(table(spark, d, "documents"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.score(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_masked, p7_found, p10_found, p10_scores)}
 
 SQL: dict[str, str] = {}
