@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import pairs, pii, spam
+from weftline.llm import mixing, packing, pairs, pii, spam
+from weftline.llm.tokens import count_tokens
+from weftline.session import cut
 from weftline.sources.tables import table
 
 
@@ -20,6 +23,33 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.find(table(spark, d, "inference_requests"), table(spark, d, "inference_responses"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    lengths = cut(count_tokens(table(spark, d, "documents").select("doc_id", "text")))
+    return packing.pack(lengths, table(spark, d, "pack_profiles"))
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d), table(spark, d, "pack_profiles"))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    documents = table(spark, d, "documents").select("doc_id", "source", "text").withColumn("own_text", F.col("text"))
+    return mixing.mix(count_tokens(documents, "own_text"), targets)
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.find(table(spark, d, "documents"))
 
@@ -28,6 +58,6 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.score(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_masked, p7_found, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_masked, p7_found, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_scores)}
 
 SQL: dict[str, str] = {}
