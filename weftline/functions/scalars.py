@@ -29,15 +29,15 @@ def is_duration(text: Column) -> Column:
 
 
 def duration_seconds(text: Column) -> Column:
-    """Seconds as decimal(30,9), exact to the nanosecond; null for anything that is no duration."""
+    """Seconds as decimal(30,9), exact to the nanosecond; null for anything that is no duration or over 10^11 of a unit."""
     exact = "decimal(30,9)"
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    factor = F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(v).cast(exact))])
+    factor = F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(v).cast("decimal(13,9)"))])
 
     def seconds(token: Column) -> Column:
         number = F.regexp_extract(token, _TOKEN, 1)
         # "1." and ".5" are numbers here
-        return (F.concat(F.lit("0"), number, F.when(number.endswith("."), "0").otherwise("")).cast("decimal(28,9)") * factor[F.regexp_extract(token, _TOKEN, 2)]).cast(exact)
+        return (F.concat(F.lit("0"), number, F.when(number.endswith("."), "0").otherwise("")).try_cast("decimal(20,9)") * factor[F.regexp_extract(token, _TOKEN, 2)]).cast(exact)
 
     total = F.aggregate(tokens, F.lit("0").cast(exact), lambda a, t: (a + seconds(t)).cast(exact))
     signed = F.when(text.startswith("-"), -total).otherwise(total)

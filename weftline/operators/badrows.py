@@ -143,8 +143,10 @@ def parse_record(text: str | None) -> Parsed:
     if text.endswith("\r"):
         text = text[:-1]
     csv.field_size_limit(2**31 - 1)
+    # the csv module takes any carriage returns at the end for the end of the record; here all but one are part of it
+    ends = text[len(text.rstrip("\r")) :]
     try:
-        *broken, last = text.split("\n")
+        *broken, last = text.rstrip("\r").split("\n")
         rows = list(csv.reader(assemble([x + "\n" for x in broken] + [last]), strict=True))
     except csv.Error as e:
         if GRAMMAR.fullmatch(text):
@@ -155,6 +157,7 @@ def parse_record(text: str | None) -> Parsed:
         return Parsed("quoting", "quote inside an unquoted field", NONE)
     if len(rows) != 1 or len(rows[0]) != len(FIELDS):
         return Parsed("column_count", f"{len(rows[0]) if rows else 0} fields", NONE)
+    rows[0][-1] += ends
     values = []
     for name, value in zip(FIELDS, rows[0]):
         try:

@@ -24,7 +24,7 @@ MAX_DEPTH = 900
 
 def _clean(text: str) -> str:
     """Lone surrogates cannot be stored as UTF-8; they become U+FFFD."""
-    return text.encode("utf-8", "surrogatepass").decode("utf-8", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+    return re.sub("[\ud800-\udfff]", "\ufffd", text)
 
 
 def _constant(word: str) -> None:

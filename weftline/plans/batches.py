@@ -76,7 +76,7 @@ def list_jobs_page_three(spark, d):
 
 @query("""
 WITH f AS (SELECT id, row_number() OVER (ORDER BY spec.created_at NULLS FIRST, id) AS n FROM batch_jobs QUALIFY n > 40 AND n <= 61)
-SELECT min_by(id, n) FILTER (n <= 60) AS first_id, max_by(id, n) FILTER (n <= 60) AS last_id, count(*) > 20 AS has_more FROM f""")
+SELECT coalesce(min_by(id, n) FILTER (n <= 60), '') AS first_id, coalesce(max_by(id, n) FILTER (n <= 60), '') AS last_id, count(*) > 20 AS has_more FROM f""")
 def page_envelope(spark, d):
     return store.page(_jobs(spark, d).select("id", "spec"), [F.col("spec.created_at"), F.col("id")], 20, 40)[1]
 

@@ -82,7 +82,7 @@ def expiring_state(events: DataFrame, key: str, value: str, ttl_ms: int) -> Data
             pass
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).transformWithStateInPandas(Cell(), f"{key} {kind}, value string, writes bigint", "Update", "None")
+    return events.groupBy(key).transformWithStateInPandas(Cell(), f"{key} {kind}, value string, writes bigint", "Update", "ProcessingTime")
 
 
 def drain(*queries: StreamingQuery, seconds: float = 60.0) -> None:
