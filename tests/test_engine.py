@@ -250,8 +250,11 @@ def test_state_with_time_to_live(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/in")
         got = []
         stream = live.expiring_state(live.read_stream(spark, f"{tmp_path}/in", df.schema), "id", "v", 60_000)
-        q = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: got.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-        q.awaitTermination(180)
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: got.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/c").start()
+        end = time.monotonic() + 60
+        while len(got) < 2 and time.monotonic() < end:
+            time.sleep(0.2)
+        live.drain(q, seconds=10)
         assert {(r.id, r.writes) for r in got} == {("a", 2), ("b", 1)}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
