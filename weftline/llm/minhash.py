@@ -15,8 +15,12 @@ def shingles(text: Column, words: int = 5) -> Column:
     return F.array_distinct(runs)
 
 
+def _least(runs: Column, seed: int) -> Column:
+    return F.array_min(F.transform(runs, lambda x: F.xxhash64(x, F.lit(seed))))
+
+
 def _signature(runs: Column, hashes: int) -> Column:
-    return F.array(*[F.array_min(F.transform(runs, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(hashes)])
+    return F.array(*[_least(runs, seed) for seed in range(hashes)])
 
 
 def jaccard(a: Column, b: Column) -> Column:
