@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars
 from weftline.operators import checks, codec, events, metrics, process, queue, status, store
+from weftline.operators.running import running_sum
 from weftline.sources import config, files
 from weftline.streaming import live
 
@@ -164,13 +165,24 @@ def test_lines_retries_and_isolation(spark):
 def test_error_lists_and_thresholds(spark):
     rows = spark.createDataFrame([("j", i, f"c{i}", "m", None) for i in (3, 1, 2)], "job_id string, line int, code string, message string, param string")
     one = process.error_list(rows).first()
-    assert [e.line for e in one.errors] == [1, 2, 3] and one.omitted == 0
-    short = process.error_list(rows, most=2).first()
-    assert [e.line for e in short.errors] == [1, 2] and short.omitted == 1
+    assert [e.line for e in one.errors] == [1, 2, 3] and one.chunk == 0
+    assert {x.chunk: [e.line for e in x.errors] for x in process.error_list(rows, span=2).collect()} == {0: [1], 1: [2, 3]}
     lines = spark.createDataFrame([("j", i, 1) for i in range(6)], "job string, line int, failed int")
     assert sorted(r.line for r in process.until_threshold(lines, "job", ["line"], F.col("failed"), 2).collect()) == [0, 1, 2]
 
 
+def test_running_sums_of_a_hot_key(spark):
+    rows = [("hot", i, i % 3) for i in range(500)] + [("cold", i, 1) for i in range(5)] + [(None, i, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, n int, amount int").repartition(7)
+    got = running_sum(df, "amount", ["n"], ["k"], "value").collect()
+    for key in ("hot", "cold", None):
+        total = 0
+        for r in sorted((r for r in got if r.k == key), key=lambda r: r.n):
+            total += r.amount
+            assert r.value == total
+    assert len(got) == len(rows) and running_sum(df.limit(0), "amount", ["n"], ["k"], "value").count() == 0
+
+
 def test_histogram_bounds_are_inclusive(spark):
     rows = spark.createDataFrame([("a", v) for v in (0.05, 0.1, 0.11, 5000.0, None)], "t string, v double")
     got = {r.le: r.bucket_count for r in metrics.histogram(rows, "v", metrics.exponential_bounds(0.1, 2, 15), "t").collect()}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.running import running_sum
+
 #: Fixed values: (start, factor, count) of the bounds of job duration and queue wait, and the usual bounds of request times.
 DURATION_BOUNDS = (0.1, 2, 15)
 WAIT_BOUNDS = (0.1, 2, 10)
@@ -33,8 +35,7 @@ def histogram(rows: DataFrame, value: str, bounds: list[float], *labels: str) ->
 
 def gauge(deltas: DataFrame, delta: str, order: list[str], *labels: str) -> DataFrame:
     """deltas with the running total per label set after each of them."""
-    window = Window.partitionBy(*labels).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return deltas.withColumn("value", F.sum(delta).over(window))
+    return running_sum(deltas, delta, order, list(labels), "value")
 
 
 def _escaped(c: Column) -> Column:

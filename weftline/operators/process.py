@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.checks import RETRYABLE
+from weftline.operators.running import running_sum
 
 RESULT = "request_id string, job_id string, response string, category string, message string, attempts int"
 
@@ -83,21 +84,15 @@ def progress(total: Column, completed: Column, failed: Column) -> Column:
     return F.when(total > 0, (completed + failed) / total)
 
 
-def error_list(errors: DataFrame, job: str = "job_id", most: int | None = None) -> DataFrame:
-    """(job, errors): per job its errors by line.
+def error_list(errors: DataFrame, job: str = "job_id", span: int = 1000) -> DataFrame:
+    """(job, chunk, errors): per job its errors in order of their lines, in chunks of ``span`` lines.
 
-    A job's list is one value and so must fit one row; ``most`` keeps the first lines of each and tells by
-    ``omitted`` how many more there are.
+    Chunk 0 holds the lines up to span - 1, and so on, so that no list grows with the job. Errors without a line
+    are in chunk -1.
     """
-    if most is not None:
-        window = Window.partitionBy(job).orderBy("line", "code")
-        errors = errors.withColumn("__n", F.row_number().over(window))
-        omitted = F.count_if(F.col("__n") > most).alias("omitted")
-        listed = F.array_sort(F.collect_list(F.when(F.col("__n") <= most, F.struct("line", "code", "message", "param"))))
-    else:
-        omitted = F.lit(0).cast("bigint").alias("omitted")
-        listed = F.array_sort(F.collect_list(F.struct("line", "code", "message", "param")))
-    return errors.groupBy(job).agg(listed.alias("errors"), omitted)
+    chunk = F.coalesce(F.floor(F.col("line") / F.lit(span)).cast("bigint"), F.lit(-1).cast("bigint")).alias("chunk")
+    listed = F.array_sort(F.collect_list(F.struct("line", "code", "message", "param"))).alias("errors")
+    return errors.groupBy(job, chunk).agg(listed)
 
 
 def remaining(lines: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
@@ -107,8 +102,8 @@ def remaining(lines: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
 
 def until_threshold(lines: DataFrame, job: str, order: list[str], amount: Column, most: int) -> DataFrame:
     """The lines of each job up to and including the one with which the running amount exceeds ``most``."""
-    before = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("spent", F.coalesce(F.sum(amount).over(before), F.lit(0))).where(F.col("spent") <= most)
+    spent = running_sum(lines.withColumn("__amount", amount), "__amount", order, [job], "spent", inclusive=False)
+    return spent.where(F.col("spent") <= most).drop("__amount")
 
 
 def over_rate(events: DataFrame, user: str, at: str, period: str, most: int) -> DataFrame:

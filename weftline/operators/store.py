@@ -17,6 +17,11 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str = "id", place: str = "place
     return ids.select(place, key).join(rows, key).orderBy(place)
 
 
+def not_found(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """(key, message) for every listed key that no row has."""
+    return ids.select(key).distinct().join(rows.select(key), key, "left_anti").withColumn("message", F.concat(F.lit("not found: "), F.coalesce(key, F.lit(""))))
+
+
 def by_tags(rows: DataFrame, wanted: Sequence[str], every: bool, tags: str = "tags") -> DataFrame:
     """Rows that carry every wanted tag, or any; no wanted tags select nothing, null tags are never selected."""
     if not wanted:

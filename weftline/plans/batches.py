@@ -439,11 +439,11 @@ def usage_by_model(spark, d):
     return _jobs(spark, d).groupBy(F.col("status.model").alias("model")).agg(*[F.sum(u + c).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")])
 
 
-@query("SELECT job_id, string_agg(line || ':' || end_point, ';' ORDER BY line, row_seq) AS errors FROM requests WHERE status = 1 AND job_id IS NOT NULL AND end_point IS NOT NULL GROUP BY job_id")
+@query("SELECT job_id, line // 1000 AS chunk, string_agg(line || ':' || end_point, ';' ORDER BY line, row_seq) AS errors FROM requests WHERE status = 1 AND job_id IS NOT NULL AND end_point IS NOT NULL AND line IS NOT NULL GROUP BY ALL")
 def job_error_lists(spark, d):
-    failed = _requests(spark, d).where("status = 1 AND job_id IS NOT NULL AND end_point IS NOT NULL")
+    failed = _requests(spark, d).where("status = 1 AND job_id IS NOT NULL AND end_point IS NOT NULL AND line IS NOT NULL")
     listed = process.error_list(failed.select("job_id", "line", F.col("row_seq").alias("code"), F.col("end_point").alias("message"), F.lit(None).cast("string").alias("param")))
-    return listed.select("job_id", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["line"], e["message"])), ";").alias("errors"))
+    return listed.select("job_id", "chunk", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["line"], e["message"])), ";").alias("errors"))
 
 
 @query("""
@@ -506,6 +506,46 @@ def inference_errors(spark, d):
     return process.split_results(process.run_lines(lines, _echo, 8))[1].groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ASKED = f"""SELECT id, spec.completion_window AS w, {_WINDOW.replace("sign *", "CASE WHEN w LIKE '-%' THEN -1 ELSE 1 END *")} AS seconds, spec.created_at AS made, spec.endpoint AS e, spec.input_file_id AS f,
+  CASE WHEN ttl % 2 = 0 THEN 3600 + ttl % 1000 END AS x, CASE WHEN status.model LIKE 'q%' THEN 'later' ELSE 'created_at' END AS anchor FROM batch_jobs WHERE spec IS NOT NULL"""
+_SOUND = "regexp_full_match(w, '[-+]?(0|(\\d+[hms])+)') AND e IN ('/v1/responses', '/v1/chat/completions', '/v1/embeddings', '/v1/completions', '/v1/moderations') AND coalesce(f, '') <> ''"
+
+
+def _created(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    expiry = F.when(F.col("ttl") % 2 == 0, F.struct((3600 + F.col("ttl") % 1000).alias("seconds"), F.when(F.col("status.model").like("q%"), "later").otherwise("created_at").alias("anchor")))
+    asked = _jobs(spark, d).where("spec is not null").select("id", "spec.input_file_id", "spec.endpoint", "spec.completion_window", "spec.metadata", "spec.created_at", expiry.alias("output_expires_after"))
+    return codec.create(asked, F.col("id"), F.col("created_at"))
+
+
+@query(f"""
+SELECT 'batch_' || id AS id, (made + seconds) * 1000000 AS slo, CASE WHEN x IS NOT NULL AND anchor = 'created_at' THEN seconds + x ELSE 2592000 END AS ttl, 'validating' AS status
+FROM ({_ASKED}) WHERE {_SOUND}""")
+def jobs_created(spark, d):
+    return _created(spark, d)[0].select("id", F.unix_micros("slo").alias("slo"), "ttl", "status.status")
+
+
+@query(f"SELECT id FROM ({_ASKED}) WHERE NOT coalesce({_SOUND}, false)")
+def job_requests_rejected(spark, d):
+    return _created(spark, d)[1].select("id")
+
+
+@query("SELECT DISTINCT id, 'not found: ' || coalesce(id, '') AS message FROM job_queue q WHERE NOT EXISTS (SELECT 1 FROM batch_jobs j WHERE j.id = q.id)")
+def lookup_missing(spark, d):
+    return store.not_found(_jobs(spark, d).select("id"), _queue(spark, d).select("id"))
+
+
+@query("SELECT o_orderkey AS n, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN 'NotFoundError' ELSE 'InternalServerError' END AS type FROM orders")
+def api_error_types(spark, d):
+    given = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise("")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), scalars.error_type(F.when(F.col("o_orderkey") % 2 == 0, 404).otherwise(503), given).alias("type"))
+
+
+@query("SELECT row_seq, coalesce(nullif(request_id, ''), 'row-' || row_seq) AS request_id, CASE WHEN status = 0 THEN 'and' ELSE 'or' END AS condition FROM requests WHERE end_point NOT IN ('/metrics', '/health')")
+def request_identifiers(spark, d):
+    rows = _requests(spark, d).where(checks.observed(F.col("end_point")))
+    return rows.select("row_seq", scalars.identifier(F.col("request_id"), F.concat(F.lit("row-"), F.col("row_seq").cast("string"))).alias("request_id"), scalars.tag_condition_name(F.col("status") + 1).alias("condition"))
+
+
 def latest_status_stream(spark: SparkSession, d: str) -> DataFrame:
     """The latest status kept by a streaming query over the events file, run to the end of what is there."""
     import uuid
