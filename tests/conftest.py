@@ -5,12 +5,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from weftline.session import local_session  # noqa: E402
+from weftline.session import local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(8, "6g")
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()

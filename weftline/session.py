@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,20 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's executors, once per context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_weftline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))  # served by the driver, so it need not lie in a shared folder
+    context._weftline_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
