@@ -29,7 +29,7 @@ DECLINES = re.compile(
     r"""\bI(?:\s+am|'m)?\s+(?:really\s+)?(?:can(?:no|')t|can\s+not|cannot|unable\s+to|not\s+able\s+to|must\s+decline|have\s+to\s+decline|won't\s+be|will\s+not\s+be|refuse|decline)\s*(?:to\s+)?(?:help|assist|answer|comply|discuss|provide|providing|respond|talk|do\s+that|share|give|continue)?
     |\bcannot\s+assist\b|\bpermitted\s+to\s+(?:talk|answer|discuss)|against\s+my\s+(?:guidelines|rules|policy|policies)|appropriate\s+for\s+me\b|\bI'm\s+not\s+(?:able|allowed|permitted)
     |\bich\s+(?:\w+\s+){0,3}(?:ablehnen|nicht\s+(?:helfen|beantworten|weiterhelfen|antworten))|\b(?:kann|darf|möchte)\s+ich\s+(?:\w+\s+){0,3}nicht|keine\s+Auskunft|gegen\s+meine\s+(?:Richtlinien|Regeln)|äußere\s+ich\s+mich\s+nicht
-    |\bje\s+(?:ne\s+(?:peux|puis)\s+pas|dois\s+(?:refuser|décliner)|refuse|ne\s+suis\s+pas\s+(?:autorisé|en\s+mesure))|impossible\s+de\s+(?:répondre|vous\s+aider)|contr(?:e|aire\s+à)\s+mes\s+(?:règles|consignes)
+    |\bje\s+(?:ne\s+(?:peux|puis)\s+pas|dois\s+(?:refuser|décliner)|refuse|ne\s+suis\s+pas\s+(?:autorisé|en\s+mesure))|impossible\s+de\s+(?:répondre|vous\s+aider)|(?:contr(?:e|aire\s+à)|à\s+l['’]encontre\s+de)\s+mes\s+(?:règles|consignes|principes)|\bje\s+préfère\s+(?:m['’]abstenir|ne\s+pas)
     |\bno\s+puedo\b|\bdebo\s+negarme|no\s+me\s+está\s+permitido|contra\s+mis\s+normas|prefiero\s+no\s+contestar|no\s+estoy\s+autorizad
     |\bnon\s+posso\b|\bdevo\s+rifiutare|\bnão\s+posso\b|\btenho\s+de\s+recusar|\bik\s+(?:kan|mag)\s+(?:\w+\s+){0,3}niet\b""",
     re.I | re.X,
