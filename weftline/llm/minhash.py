@@ -38,17 +38,18 @@ def cluster(texts: DataFrame, text: str, words: int = 5, similarity: float = 0.8
     base = cut(texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct().withColumn("id", F.xxhash64("text")).withColumn("runs", shingles(F.col("text"), words)))
     marked = base.withColumn("signature", _signature(F.col("runs"), bands * rows))
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.get("signature", F.lit(b * rows + r)) for r in range(rows)]) for b in range(bands)])
-    left = cut(marked.select("id", "runs", F.explode(keys).alias("band")).join(marked.select(F.explode(keys).alias("band")).groupBy("band").count().where("count > 1").select("band"), "band", "left_semi"))
+    left = marked.select("id", "runs", F.explode(keys).alias("band"))
     links = None
-    while not left.isEmpty():
-        leaders = left.groupBy("band").agg(F.min(F.struct("id", "runs")).alias("leader"))
+    while True:
+        # a text alone in its band has nothing to be compared with, so its band gets no leader
+        leaders = left.groupBy("band").agg(F.min(F.struct("id", "runs")).alias("leader"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         tried = left.join(leaders, "band").withColumn("near", jaccard(F.col("runs"), F.col("leader.runs")) >= similarity)
         tried = cut(tried.select("band", "id", "runs", F.col("leader.id").alias("leader"), "near"))
+        if tried.isEmpty():
+            break
         found = tried.where(F.col("near") & (F.col("id") != F.col("leader"))).select("id", "leader").distinct()
         links = found if links is None else links.unionByName(found)
-        rest = tried.where(~F.col("near")).select("band", "id", "runs")
-        # a text left alone in its band has nothing more to be compared with
-        left = cut(rest.join(rest.groupBy("band").count().where("count > 1").select("band"), "band", "left_semi"))
+        left = tried.where(~F.col("near")).select("band", "id", "runs")
     labels = base.select("id", F.col("id").alias("class_id"))
     if links is not None:
         both = cut(links.unionByName(links.select(F.col("leader").alias("id"), F.col("id").alias("leader"))).distinct())
