@@ -115,6 +115,15 @@ lives AS (SELECT id, min(arrived_at) AS arrived, min(deleted_at) AS deleted FROM
 _FIELD = '("(?:[^"]|"")*"|[^",]*)'
 _PLAIN = "CASE WHEN {0} LIKE '\"%' THEN replace({0}[2:-2], '\"\"', '\"') ELSE {0} END"
 
+_RECORDS = rf"""
+WITH r AS (SELECT file_id, line, CASE WHEN right(raw_text, 1) = chr(13) THEN raw_text[:-2] ELSE coalesce(raw_text, '') END AS t FROM raw_lines),
+f AS (SELECT *, regexp_full_match(t, '(?s){_FIELD}(,{_FIELD})*') AS well, regexp_extract(t, '(?s)^{",".join([_FIELD] * 6)}$', ['a', 'b', 'c', 'd', 'e', 'f']) AS x, regexp_full_match(t, '(?s){",".join([_FIELD] * 6)}') AS six FROM r),
+v AS (SELECT *, {_PLAIN.format("x.a")} AS a, {_PLAIN.format("x.b")} AS b, {_PLAIN.format("x.c")} AS c, {_PLAIN.format("x.d")} AS d, {_PLAIN.format("x.e")} AS e, {_PLAIN.format("x.f")} AS s FROM f),
+w AS (SELECT *, regexp_replace(e, '"(?:[^"\\]|\\.)*"', '""', 'g') AS bare FROM v)"""
+_REJECTED = rf"""NOT well OR NOT six OR a = '' OR NOT regexp_full_match(c, 'batch_[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')
+  OR d NOT IN ({", ".join(f"'{e}'" for e in badrows.END_POINTS)}) OR s NOT IN ('0', '1') OR NOT json_valid(e)
+  OR (CASE WHEN json_valid(e) THEN json_type(e) END) <> 'OBJECT' OR regexp_matches(bare, ',\s*[}}\]]|NaN|Infinity')"""
+
 SQL = {
     "p1_found": """
 SELECT 'requests' AS table_name, row_seq FROM (SELECT row_seq, row_number() OVER (PARTITION BY request_id ORDER BY delivered_at NULLS LAST, row_seq) AS r FROM requests WHERE request_id IS NOT NULL) WHERE r > 1
@@ -128,15 +137,10 @@ tree AS (SELECT d.request_id, d.side, t.id, t.parent, t.type, t.fullkey FROM doc
 SELECT a.request_id, a.side, replace(regexp_replace(a.fullkey[2:], '\[(\d+)\]', '/\1', 'g'), '.', '/') AS node_path
 FROM tree a JOIN tree b ON a.request_id = b.request_id AND a.side = b.side AND a.parent = b.id
 WHERE a.type = 'OBJECT' AND b.type = 'ARRAY'""",
-    "p4_found": rf"""
-WITH r AS (SELECT file_id, line, CASE WHEN right(raw_text, 1) = chr(13) THEN raw_text[:-2] ELSE coalesce(raw_text, '') END AS t FROM raw_lines),
-f AS (SELECT *, regexp_full_match(t, '(?s){_FIELD}(,{_FIELD})*') AS well, regexp_extract(t, '(?s)^{",".join([_FIELD] * 6)}$', ['a', 'b', 'c', 'd', 'e', 'f']) AS x, regexp_full_match(t, '(?s){",".join([_FIELD] * 6)}') AS six FROM r),
-v AS (SELECT *, {_PLAIN.format("x.a")} AS a, {_PLAIN.format("x.c")} AS c, {_PLAIN.format("x.d")} AS d, {_PLAIN.format("x.e")} AS e, {_PLAIN.format("x.f")} AS s FROM f),
-w AS (SELECT *, regexp_replace(e, '"(?:[^"\\]|\\.)*"', '""', 'g') AS bare FROM v)
-SELECT file_id, line, CASE WHEN NOT well THEN 'quoting' WHEN NOT six THEN 'column_count' ELSE 'invalid_value' END AS reason FROM w
-WHERE NOT well OR NOT six OR a = '' OR NOT regexp_full_match(c, 'batch_[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')
-  OR d NOT IN ({", ".join(f"'{e}'" for e in badrows.END_POINTS)}) OR s NOT IN ('0', '1') OR NOT json_valid(e)
-  OR (CASE WHEN json_valid(e) THEN json_type(e) END) <> 'OBJECT' OR regexp_matches(bare, ',\s*[}}\]]|NaN|Infinity')""",
+    "p4_found": f"""{_RECORDS}
+SELECT file_id, line, CASE WHEN NOT well THEN 'quoting' WHEN NOT six THEN 'column_count' ELSE 'invalid_value' END AS reason FROM w WHERE {_REJECTED}""",
+    "p4_valid": f"""{_RECORDS}
+SELECT file_id, line, a AS request_id, b AS model, c AS job_id, d AS end_point, e AS request_body, CAST(s AS INTEGER) AS status FROM w WHERE NOT ({_REJECTED})""",
     "p3_found": f"""
 WITH {_REFS}
 SELECT DISTINCT job_id, ref_field, kind AS orphan_kind FROM (
