@@ -43,3 +43,14 @@ def test_frames(spark):
     scored = {x.doc_id: x for x in spam.score(df).collect()}
     assert scored[1001].lines == 0 and 1000 not in scored and scored[1002].lines == len(SPEECH) * 2000
     assert spam.find(df.limit(0)).count() == 0
+
+
+def test_copies_of_one_page_are_no_norm(spark):
+    r = random.Random(4)
+    rows = [(i, srt([r.choice(SPEECH) for _ in range(r.randint(8, 40))])) for i in range(200)]
+    rows += [(200 + i, srt([r.choice(RUBBISH) for _ in range(20)])) for i in range(10)]
+    # a third of all rows; other cue times and line ends make no other page
+    copied = srt(["buy shoes, the best shoes online", "cheap shoes; shoes price", "#shoes #deals", "www.deals.test/p/1"] * 4)
+    rows += [(1000 + i, copied if i % 2 else copied.replace("\r\n", "\n").replace(",900", ",800")) for i in range(105)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x.doc_id for x in spam.find(df).collect()} == {i for i, _ in rows if i >= 200}

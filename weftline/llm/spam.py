@@ -2,8 +2,8 @@
 
 Each text line is described by how dense in signs, how repetitive, how even in its words and how poor in function
 words it is. Per language, location and scatter of these features are estimated robustly (concentration steps: the
-moments of the closer part of the lines, again and again), and a line far from them by Mahalanobis distance, in a
-direction that points to spam, is flagged. A document in which more than half of the text lines are flagged is found.
+moments of the closer half of the lines, again and again) over distinct pages, so that copies of one page are no norm
+of their own, and a line far from them by Mahalanobis distance, in a direction that points to spam, is flagged. A document in which more than half of the text lines are flagged is found.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,14 +109,17 @@ CACHE = 200_000
 
 
 def describe(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, lang, lines): per document the features of its text lines, one row each; null texts have no lines."""
+    """(key, lang, lines, page): per document the features of its text lines, one row each, and a hash of these lines.
+
+    Null texts are left out. Cue numbers, times and line ends do not count for the hash.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[float, ...]] = {}
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                langs, rows = [], []
+                langs, rows, pages = [], [], []
                 for value in part["t"]:
                     lines = text_lines(value)
                     if len(known) > CACHE:
@@ -127,11 +131,12 @@ def describe(documents: DataFrame, key: str, text: str) -> DataFrame:
                         own.extend(f)
                     langs.append(language_of(lines))
                     rows.append(own)
-                yield pd.DataFrame({"k": part["k"].to_numpy(), "lang": langs, "lines": rows})
+                    pages.append(xxhash.xxh64_intdigest("\n".join(lines).encode("utf-8", "surrogatepass")) - 2**63)
+                yield pd.DataFrame({"k": part["k"].to_numpy(), "lang": langs, "lines": rows, "page": pages})
 
     # keys travel as text, so that nulls among them do not turn whole numbers into floats
     source = documents.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    return source.mapInPandas(run, "k string, lang string, lines array<float>")
+    return source.mapInPandas(run, "k string, lang string, lines array<float>, page bigint")
 
 
 def _matrices(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
@@ -211,11 +216,15 @@ def _concentrate(described: DataFrame, models: dict[str, Model], part: float) ->
     return out
 
 
-def fit(described: DataFrame, steps: int = 3, part: float = 0.75) -> dict[str, Model]:
-    """Robust location and inverse scatter per language, and of all languages together for documents in none."""
-    models = _start(described)
+def fit(described: DataFrame, steps: int = 3, part: float = 0.5) -> dict[str, Model]:
+    """Robust location and inverse scatter per language, and of all languages together for documents in none.
+
+    Equal pages count once: a page copied to a large part of the rows would else become the norm.
+    """
+    pages = cut(described.where(F.col("lang") != "und").select("lang", "lines", "page").dropDuplicates(["lang", "page"]))
+    models = _start(pages)
     for _ in range(steps):
-        models = _concentrate(described, models, part)
+        models = _concentrate(pages, models, part)
     if "und" not in models:
         models["und"] = (np.zeros(len(FEATURES)), np.diag(1 / np.square(FLOOR)))
     return models
