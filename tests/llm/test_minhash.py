@@ -44,3 +44,19 @@ def test_classes_against_all_pairs(spark):
         got.setdefault(row.class_id, set()).add(row.text)
     assert sorted(map(sorted, got.values())) == brute(texts)
     assert cluster(spark.createDataFrame([], "text string"), "text").count() == 0
+
+
+def test_no_link_of_a_chain_is_lost(spark):
+    r = random.Random(3)
+    texts = []
+    for c in range(100):
+        chain = [[f"w{r.randrange(1000)}" for _ in range(40)]]
+        for step in range(5):  # neighbours are similar, ends are not
+            chain.append(list(chain[-1]))
+            chain[-1][(2, 37, 1, 38, 0)[step]] = f"n{c}_{step}"
+        texts += [" ".join(x) for x in chain]
+    got = {}
+    for row in cluster(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect():
+        got.setdefault(row.class_id, set()).add(row.text)
+    assert sorted(map(sorted, got.values())) == brute(texts)
+    assert len(got) == 100
