@@ -77,3 +77,13 @@ def test_empty_tables(spark):
     asked = spark.createDataFrame([], "request_id string, params string")
     got = spark.createDataFrame([], "request_id string, response string")
     assert pairs.find(asked, got).count() == 0
+
+
+def test_copies_of_an_answer_do_not_change_its_defect(spark):
+    for copies in (1, 4):
+        answers = [chat("Fill it up to the upper level.")] + [chat("- Drain the tank\n- check the water level")] * copies
+        answers += [chat("Change the water daily."), chat("Keep the water cool."), chat("Wash it with water.")] + [chat("- Drain the tank slowly.\n- look at the water")] * copies
+        rows = [(f"r{i}", ask(f"What about pump number {i}?"), a) for i, a in enumerate(answers)]
+        found = pairs.find(spark.createDataFrame([x[:2] for x in rows], "request_id string, params string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "request_id string, response string"))
+        want = {(k, "truncated") for k, _, a in rows if a == answers[-1]}
+        assert {(x.request_id, x.defect) for x in found.collect()} == want

@@ -21,7 +21,7 @@ from weftline.llm import language
 from weftline.llm.minhash import cluster
 from weftline.session import cut
 
-PAIR = "request_id string, prompt_id bigint, defect string, openings array<string>, declines array<boolean>, statements array<string>, ends array<string>, open_end string, open_word string"
+PAIR = "request_id string, prompt_id bigint, defect string, openings array<string>, declines array<boolean>, statements array<string>, ends array<string>, open_end string, open_word string, answer_id bigint"
 #: What stands for no answer at all.
 NOTHING = frozenset("n/a na null none nil nan empty undefined blank todo tbd noanswer".split())
 #: Words with which a speaker turns a request down, per language.
@@ -158,13 +158,13 @@ def _examine(request_id: str, params: str, response: str) -> tuple | None:
     question = question_of(asked)
     answer, calls = answer_of(got)
     own = WORDS.findall(question.lower())
-    prompt_id = hash_of(_letters(question))
+    prompt_id, answer_id = hash_of(_letters(question)), hash_of(_letters(answer))
     if is_empty(answer):
-        return (request_id, prompt_id, None if calls else "empty", [], [], [], [], None, None)
+        return (request_id, prompt_id, None if calls else "empty", [], [], [], [], None, None, answer_id)
     defect = "answer_copies_question" if copies(question, answer) else "other_language" if wrong_language(question, answer) else None
     said = statements(answer)
     if not said:
-        return (request_id, prompt_id, defect, [], [], [], [], None, None)
+        return (request_id, prompt_id, defect, [], [], [], [], None, None, answer_id)
     pairs = set(zip(own, own[1:]))
     templates = [_template(s, pairs) for s in said]
     # the opening as it is, and without its leading clause ("I am sorry, but ...")
@@ -189,7 +189,7 @@ def _examine(request_id: str, params: str, response: str) -> tuple | None:
         open_word = _last_words(statements(last)[-1]) if statements(last) else ""
     elif last[-1] in ",;":
         open_end = "sentence"
-    return (request_id, prompt_id, defect, opening, [_declines(said[0])] * len(opening), templates, ends, open_end, open_word)
+    return (request_id, prompt_id, defect, opening, [_declines(said[0])] * len(opening), templates, ends, open_end, open_word, answer_id)
 
 
 def _last_words(statement: str) -> str:
@@ -247,14 +247,21 @@ def find(requests: DataFrame, responses: DataFrame, closing_share: float = 0.6)
     more = behind.where(F.col("refused") & (F.col("place") > 0)).select("request_id", "prompt_id", "statement").join(closing.select("statement"), "statement", "left_anti").select("request_id", "prompt_id")
     refusals = refused.join(more.distinct(), ["request_id", "prompt_id"], "left_anti").withColumn("refusal", F.lit(True))
     # how statements end: pairs of last words, and single last words for pairs not seen elsewhere
-    endings = cut(pairs.select("prompt_id", F.explode("ends").alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n")))
-    last = endings.select(F.substring_index("end", " ", -1).alias("word")).distinct().withColumn("word_ends", F.lit(True))
+    # counted over distinct answers, so that copies of an answer change nothing
+    endings = cut(pairs.select("answer_id", F.explode("ends").alias("end")).distinct())
     items = pairs.where(F.col("open_end") == "item").select("request_id", "prompt_id", F.col("open_word").alias("end")).distinct()
-    inner = pairs.select(F.explode("statements").alias("s")).select(F.explode(_bigrams(F.col("s"))).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("seen"))
+    items = cut(items.withColumn("word", F.substring_index("end", " ", -1)))
+    word_ends = endings.select("answer_id", F.substring_index("end", " ", -1).alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("word_ends"))
+    inner = pairs.select("answer_id", F.explode("statements").alias("s")).select("answer_id", F.explode(_bigrams(F.col("s"))).alias("b"))
+    # a pair goes on if a word follows it, a word if it is the first of a pair; an item's own last words do not
+    pair_inner = inner.where("b.goes_on").select(F.col("b.end").alias("end")).distinct().join(items.select("end"), "end", "left_semi").withColumn("goes_on", F.lit(True))
+    word_inner = inner.where(F.col("b.end").contains(" ")).select("answer_id", F.substring_index("b.end", " ", 1).alias("word"))
+    word_inner = word_inner.join(items.select("word").distinct(), "word", "left_semi").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("word_inner"))
     settled = (
-        items.join(endings, "end", "left").join(inner, "end", "left")
-        .withColumn("word", F.substring_index("end", " ", -1)).join(last, "word", "left")
-        .withColumn("whole", F.col("n").isNotNull() | ((F.coalesce(F.col("seen"), F.lit(0)) < 4) & F.coalesce(F.col("word_ends"), F.lit(False))))
+        items.join(endings.select("end").distinct().withColumn("ends", F.lit(True)), "end", "left").join(pair_inner, "end", "left")
+        .join(word_ends, "word", "left").join(word_inner, "word", "left")
+        .withColumn("mostly", F.col("goes_on").isNull() | (F.col("word_ends") >= F.coalesce(F.col("word_inner"), F.lit(0))))
+        .withColumn("whole", F.col("ends").isNotNull() | (F.col("word_ends").isNotNull() & F.col("mostly")))
         .select("request_id", "prompt_id", "whole")
     )
     judged = pairs.select("request_id", "prompt_id", "defect", "open_end").join(refusals, ["request_id", "prompt_id"], "left").join(settled.distinct(), ["request_id", "prompt_id"], "left")
@@ -269,4 +276,5 @@ def find(requests: DataFrame, responses: DataFrame, closing_share: float = 0.6)
 
 def _bigrams(text):
     words = F.split(text, " ")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    last = F.greatest(F.size(words) - 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)).alias("end"), (i < last).alias("goes_on")))
