@@ -1,6 +1,13 @@
+import os
 import random
 
+import pytest
+
 from weftline.operators import redelivery
+from weftline.plans import problems
+from weftline.sources.tables import table
+
+SMALL = "/root/testdata/sf0.001"
 
 SCHEMA = "row_seq bigint, request_id string, delivered_at bigint, n string, last int"
 
@@ -47,3 +54,12 @@ def test_empty_and_stored_with_new(spark):
     stored = spark.createDataFrame([(1, "a", 3, "old", 0)], SCHEMA)
     got = redelivery.deduplicate(stored, new, "request_id", ["delivered_at", "row_seq"])
     assert [x.n for x in got.kept.collect()] == ["late"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
+def test_kept_queue_is_all_but_the_surplus(spark):
+    rows = table(spark, SMALL, "job_queue")
+    kept = problems.QUERIES["p1_kept_queue"](spark, SMALL)
+    surplus = {x.row_seq for x in problems.p1_found(spark, SMALL).where("table_name = 'job_queue'").collect()}
+    assert kept.columns == rows.columns and surplus
+    assert sorted(kept.collect(), key=str) == sorted((x for x in rows.collect() if x.enqueue_seq not in surplus), key=str)

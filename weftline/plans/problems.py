@@ -28,6 +28,12 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     return redelivery.deduplicate(rows.where(~new | new.isNull()), rows.where(new), "request_id", ["delivered_at", "row_seq"]).kept.drop("delivered_at", "sent_at")
 
 
+def p1_kept_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Whole rows of job_queue, one of each id; rows without an id are all kept."""
+    key, order = ORDER["job_queue"]
+    return redelivery.keep_one(table(spark, d, "job_queue"), key, order).kept
+
+
 def _json_documents(spark: SparkSession, d: str) -> DataFrame:
     asked = nested.documents_of(table(spark, d, "inference_requests"), "request_id", "params", "params")
     return asked.unionByName(nested.documents_of(table(spark, d, "inference_responses"), "request_id", "response", "response"))
@@ -105,7 +111,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return skew.count_messages(table(spark, d, "requests"), "job_id", "request_id").select("job_id", "messages")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_nodes, p2_bridge, p2_messages, p3_found, p3_report, p4_found, p4_valid, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_kept_queue, p2_found, p2_nodes, p2_bridge, p2_messages, p3_found, p3_report, p4_found, p4_valid, p5_found, p5_counts)}
 
 _COUNTED = "SELECT job_id, CAST(count(DISTINCT request_id) + count(*) FILTER (request_id IS NULL) AS BIGINT) AS messages FROM requests WHERE job_id IS NOT NULL GROUP BY job_id"
 _REFS = r"""refs AS (
