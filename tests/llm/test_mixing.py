@@ -63,3 +63,14 @@ def test_gradient_steps_reach_the_targets(spark):
     rates = mixing._rates(p, np.array([caps[names.index(x.source)] for x in rows]), history)
     got = (rates * np.array([x.n for x in rows])) @ p
     assert np.abs(got - wanted).max() < 0.01 * wanted.sum() and rates.min() >= 0 and rates.max() <= 1
+
+
+def test_sample_does_not_depend_on_the_row_order(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(mixing, "train", lambda rows, sources: taken.append([(s, f.tolist() if hasattr(f, "tolist") else list(f)) for s, f in rows]))
+    sources = ["a", "b", "c", "d"]
+    rows = [(i, sources[i // 200], f"text w{i} x{i * 7}", 5) for i in range(800)]
+    for order in (rows, rows[::-1]):
+        mixing.memberships(spark.createDataFrame(order, "doc_id bigint, source string, text string, n bigint"), sources, "doc_id", "text", "n", sample=100)
+    assert taken[0] == taken[1] and len(taken[0]) == 100
+    assert {s for s, _ in taken[0]} == set(sources)

@@ -90,16 +90,17 @@ def memberships(documents: DataFrame, sources: list[str], key: str, text: str, t
     """(k, source, n, p): each listed document's length and posterior over the sources."""
     spark = documents.sparkSession
     own = documents.where(F.col("source").isin(sources))
-    # the sample is drawn by hash from all rows, so it is the same whatever the partitioning
+    # the sample has the least hashes of all rows, so it is the same whatever the partitioning
+    place = F.pmod(F.xxhash64(key, "source", F.lit(17)), F.lit(1_000_000))
     total = own.count()
     share = min(1.0, 1.5 * sample / max(total, 1))
-    drawn = own.where(F.pmod(F.xxhash64(key, "source", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)).select("source", F.col(text).alias("t"))
+    drawn = own.where(place < int(share * 1_000_000)).select("source", F.col(text).alias("t"), place.alias("place"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"source": pdf["source"], "f": [_features(s, t).astype(np.int32) for s, t in zip(pdf["source"], pdf["t"])]})
 
-    labelled = drawn.limit(sample).mapInPandas(describe, "source string, f array<int>").collect()
+    labelled = drawn.orderBy("place", "source", "t").limit(sample).select("source", "t").mapInPandas(describe, "source string, f array<int>").collect()
     weights = spark.sparkContext.broadcast(train(sorted(((r["source"], r["f"]) for r in labelled), key=str), sources))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
