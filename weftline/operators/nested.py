@@ -1,9 +1,9 @@
 """Deeply nested JSON as flat tables, by Merkle identities of subtrees.
 
 Each document is parsed once. Every object and array gets a hash over its canonical form, in which nested
-containers stand as their own hashes, so equal subtrees anywhere in the data have one identity. ``nodes`` holds
-each distinct container once; ``occurrences`` keeps every place where one stands, with its parent's identity,
-the path, the key and the ordinal.
+containers stand as references to their own hashes, so equal subtrees anywhere in the data have one identity. ``nodes``
+holds each distinct container once, as JSON of its own; ``occurrences`` keeps every place where one stands, with its
+parent's identity, the path, the key and the ordinal.
 """
 
 from __future__ import annotations
@@ -12,14 +12,19 @@ import json
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OCCURRENCE = "doc_key string, side string, node_path string, parent_path string, relation string, key string, ordinal bigint, kind string, parent_kind string, node_id string, parent_id string"
+OCCURRENCE = "doc_key string, side string, node_path string, parent_path string, relation string, key string, ordinal bigint, kind string, parent_kind string, again boolean, node_id string, parent_id string"
 BATCH = 20_000
-MAX_DEPTH = 900
+#: Key of a reference to a nested container. All nested containers are references, so no other object can stand there.
+NODE = "$node"
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_WORDS = {"true": True, "false": False, "null": None}
 
 
 def _clean(text: str) -> str:
@@ -31,60 +36,135 @@ def _constant(word: str) -> None:
     raise ValueError(f"{word} is not JSON")
 
 
-def _parse(text: str) -> object:
-    # numbers keep their spelling: 1 and 1.0 are different contents, and long integers do no harm
-    return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_constant)
-
-
 class _Number(str):
     """A number as written."""
 
 
+def _pairs(pairs: list[tuple[str, object]]) -> object:
+    out = dict(pairs)
+    return out if len(out) == len(pairs) else _Repeating(pairs)
+
+
+class _Repeating(dict):
+    """An object in which a key is repeated: the last value counts, and all of them stay in ``pairs``."""
+
+    def __init__(self, pairs: list[tuple[str, object]]):
+        super().__init__(pairs)
+        self.pairs = pairs
+
+
+def _parse(text: str) -> object:
+    # numbers keep their spelling: 1 and 1.0 are different contents, and long integers do no harm
+    try:
+        return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_constant, object_pairs_hook=_pairs)
+    except RecursionError:
+        return parse_deep(text)
+
+
+def parse_deep(text: str) -> object:
+    """Strict JSON of any depth, without recursion; numbers keep their spelling. ValueError on anything else."""
+    at, stack, keys = 0, [], []
+    wants = "value"  # or "first" (value or ]), "key", "first key" (key or }), "more" (comma or end)
+    root: object = None
+
+    def put(value: object) -> None:
+        nonlocal root
+        if not stack:
+            root = value
+        elif isinstance(stack[-1], list) and keys[-1] is None:
+            stack[-1].append(value)
+        else:
+            stack[-1].append((keys[-1], value))
+
+    while True:
+        at = _SPACE.match(text, at).end()
+        c = text[at : at + 1]
+        if wants in ("value", "first") and c in ("{", "["):
+            stack.append([])
+            keys.append("" if c == "{" else None)
+            wants, at = ("first key" if c == "{" else "first"), at + 1
+        elif (c == "]" and stack and keys[-1] is None and wants in ("first", "more")) or (c == "}" and stack and keys[-1] is not None and wants in ("first key", "more")):
+            own, key = stack.pop(), keys.pop()
+            put(own if key is None else _pairs(own))
+            wants, at = "more", at + 1
+        elif wants in ("key", "first key") and c == '"':
+            keys[-1], at = scanstring(text, at + 1, True)
+            at = _SPACE.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("a colon is missing")
+            wants, at = "value", at + 1
+        elif wants in ("value", "first") and c == '"':
+            value, at = scanstring(text, at + 1, True)
+            put(value)
+            wants = "more"
+        elif wants in ("value", "first") and (m := _NUMBER.match(text, at)):
+            put(_Number(m.group()))
+            wants, at = "more", m.end()
+        elif wants in ("value", "first") and (word := next((w for w in _WORDS if text.startswith(w, at)), None)):
+            put(_WORDS[word])
+            wants, at = "more", at + len(word)
+        elif wants == "more" and stack and c == ",":
+            wants, at = ("value" if keys[-1] is None else "key"), at + 1
+        elif wants == "more" and not stack and at == len(text):
+            return root
+        else:
+            raise ValueError(f"no JSON at {at}")
+
+
 def _scalar(value: object) -> str:
     return str.__str__(value) if isinstance(value, _Number) else json.dumps(value)
 
 
+def _members(value: object) -> list[tuple]:
+    if isinstance(value, list):
+        return list(enumerate(value))
+    return value.pairs if isinstance(value, _Repeating) else list(value.items())
+
+
 def flatten_text(text: str) -> list[tuple]:
-    """(path, parent_path, relation, key, ordinal, kind, parent_kind, node_id, parent_id, content) per container, root first.
+    """(path, parent_path, relation, key, ordinal, kind, parent_kind, again, node_id, parent_id, content) per container, root first.
 
-    Raises ValueError on anything but strict JSON and RecursionError beyond the parser's depth.
+    Of a repeated key every value has its row, in order; ``again`` marks rows whose path was there before. Raises ValueError on anything but
+    strict JSON. Any depth is read.
     """
     root = _parse(text)
     if not isinstance(root, (dict, list)):
         return []
     order: list[list] = []
-    stack: list[tuple] = [(root, -1, "", None, None, "", 0, None)]
+    stack: list[tuple] = [(root, -1, "", None, None, "", None)]
     while stack:
-        value, up, path, key, ordinal, relation, depth, raw = stack.pop()
-        if depth > MAX_DEPTH:
-            raise RecursionError
+        value, up, path, key, ordinal, relation, place = stack.pop()
         at = len(order)
-        order.append([value, up, path, key, ordinal, relation, raw, {}])
-        pairs = enumerate(value) if isinstance(value, list) else value.items()
-        inner = [(k, v) for k, v in pairs if isinstance(v, (dict, list))]
-        for k, v in reversed(inner):
+        order.append([value, up, path, key, ordinal, relation, place, {}])
+        inner = [(i, k, v) for i, (k, v) in enumerate(_members(value)) if isinstance(v, (dict, list))]
+        for i, k, v in reversed(inner):
             if isinstance(value, list):
-                stack.append((v, at, f"{path}/{k}", None, k, relation, depth + 1, k))
+                stack.append((v, at, f"{path}/{k}", None, k, relation, i))
             else:
                 name = _clean(k)
-                stack.append((v, at, f"{path}/{name}", name, None, name if isinstance(v, list) else relation, depth + 1, k))
+                stack.append((v, at, f"{path}/{name}", name, None, name if isinstance(v, list) else relation, i))
     ids: list[str] = [""] * len(order)
     texts: list[str] = [""] * len(order)
     for i in range(len(order) - 1, -1, -1):
-        value, up, *_, raw, inner = order[i]
+        value, up, *_, place, inner = order[i]
+        parts = [(k, inner.get(j) or _scalar(v)) for j, (k, v) in enumerate(_members(value))]
         if isinstance(value, list):
-            body = "[" + ",".join(inner.get(k) or _scalar(v) for k, v in enumerate(value)) + "]"
+            body = "[" + ",".join(t for _, t in parts) + "]"
         else:
-            body = "{" + ",".join(f"{json.dumps(k)}:{inner.get(k) or _scalar(value[k])}" for k in sorted(value)) + "}"
+            # keys in order; the values of a repeated key keep theirs
+            body = "{" + ",".join(f"{json.dumps(k)}:{t}" for k, t in sorted(parts, key=lambda x: x[0])) + "}"
         ids[i] = blake2b(body.encode(), digest_size=16).hexdigest()
         texts[i] = body
         if up >= 0:
-            order[up][-1][raw] = "#" + ids[i]
+            order[up][-1][place] = f'{{"{NODE}":"{ids[i]}"}}'
     kind = lambda v: "array" if isinstance(v, list) else "object"
-    return [
-        (path, order[up][2] if up >= 0 else None, relation, key, ordinal, kind(value), kind(order[up][0]) if up >= 0 else None, ids[i], ids[up] if up >= 0 else None, texts[i])
-        for i, (value, up, path, key, ordinal, relation, *_) in enumerate(order)
-    ]
+    seen: set[str] = set()
+    out = []
+    for i, (value, up, path, key, ordinal, relation, *_) in enumerate(order):
+        above = (order[up][2], kind(order[up][0]), ids[up]) if up >= 0 else (None, None, None)
+        out.append((path, above[0], relation, key, ordinal, kind(value), above[1], path in seen, ids[i], above[2], texts[i]))
+        seen.add(path)
+    return out
 
 
 def _walk(with_content: bool):
@@ -96,9 +176,8 @@ def _walk(with_content: bool):
             for key, side, text in zip(pdf["doc_key"], pdf["side"], pdf["text"]):
                 try:
                     found = flatten_text(text)
-                except (ValueError, RecursionError) as e:
-                    reason = "too_deep" if isinstance(e, RecursionError) else "not_json"
-                    rows.append((key, side, "", None, None, None, None, "rejected", None, reason, None, None)[: len(names)])
+                except ValueError:
+                    rows.append((key, side, "", None, None, None, None, "rejected", None, False, "not_json", None, None)[: len(names)])
                     continue
                 rows += [(key, side, *x)[: len(names)] for x in found]
                 if len(rows) >= BATCH:
@@ -118,9 +197,9 @@ def occurrences(documents: DataFrame, with_content: bool = False) -> DataFrame:
     """Bridge rows of every object and array of the documents (doc_key, side, text), the root included.
 
     relation is the key of the nearest array around the node, which names the flat table it belongs to. A null
-    text has no nodes; a text that is a scalar has none either. A text that is no strict JSON, or nested more
-    than 900 deep, gives one row of kind ``rejected`` whose node_id is the reason. Of a repeated key the
-    last value counts. JSON inside strings stays text. Equal documents give equal rows under their own keys.
+    text has no nodes; a text that is a scalar has none either. A text that is no strict JSON gives one row of kind
+    ``rejected`` whose node_id is the reason. Nesting may have any depth. Of a repeated key every value has its row.
+    JSON inside strings stays text. Equal documents give equal rows under their own keys.
     """
     return documents.mapInPandas(_walk(with_content), OCCURRENCE + (", content string" if with_content else ""))
 
@@ -131,27 +210,36 @@ def nodes(bridge: DataFrame) -> DataFrame:
 
 
 def array_objects(bridge: DataFrame) -> DataFrame:
-    """Occurrences of objects that are elements of an array."""
+    """Occurrences of objects that are elements of an array; where a repeated key gives a path twice, both are there."""
     return bridge.where((F.col("kind") == "object") & (F.col("parent_kind") == "array"))
 
 
-def relation_table(bridge: DataFrame, distinct: DataFrame, relation: str, fields: dict[str, str]) -> DataFrame:
-    """One flat table: the objects of one relation with typed scalar fields, linked to their parent object.
+def relation_table(bridge: DataFrame, distinct: DataFrame, relation: str, fields: dict[str, str], single: bool = False) -> DataFrame:
+    """One flat table: the objects of one relation with typed scalar fields, linked to their parent.
 
-    fields maps output columns to keys of the object; absent, null and nested values come out null.
+    The objects are the elements of arrays called ``relation``, or with ``single`` the objects under that key outside
+    arrays. fields maps output columns, written ``name type``, to keys of the object; absent and nested values come out
+    null, as do values not of the type. parent_path and parent_id name the container around the object, an array for an
+    element. Equal objects are read once, in ``distinct``; every place they stand has its row.
     """
-    for name in fields:
-        if not re.fullmatch(r"\w+", name):
-            raise ValueError(f"not a column name: {name}")
-    own = array_objects(bridge).where(F.col("relation") == relation).drop("content")
-    parsed = distinct.where(F.col("kind") == "object").select("node_id", *[_field(F.col("content"), key).alias(name) for name, key in fields.items()])
-    return own.join(parsed, "node_id").select("doc_key", "side", "node_path", "parent_path", "ordinal", "node_id", *fields)
-
-
-def _field(content: Column, key: str) -> Column:
-    # nested values stand as a bare #hash, which is no JSON; quoting them first makes the content parseable
-    text = F.regexp_replace(content, r'([:\[,])(#[0-9a-f]{32})', r'$1null')
-    return F.get_json_object(text, f"$['{key}']")
+    columns = {}
+    for spec, key in fields.items():
+        name, _, kind = spec.partition(" ")
+        if not re.fullmatch(r"\w+", name) or "'" in key:
+            raise ValueError(f"not a column name or key: {spec}, {key}")
+        columns[name] = _field(F.col("content"), key, kind or "string")
+    if single:
+        own = bridge.where((F.col("kind") == "object") & (F.col("key") == relation))
+    else:
+        own = array_objects(bridge).where(F.col("relation") == relation)
+    parsed = distinct.where(F.col("kind") == "object").select("node_id", *[c.alias(n) for n, c in columns.items()])
+    return own.select("doc_key", "side", "node_path", "parent_path", "ordinal", "node_id", "parent_id").join(parsed, "node_id").select("doc_key", "side", "node_path", "parent_path", "ordinal", "node_id", "parent_id", *columns)
+
+
+def _field(content: Column, key: str, kind: str) -> Column:
+    # content is JSON of one level; a nested value is an object with the one key NODE, a scalar has none
+    nested = F.get_json_object(content, f"$['{key}']['{NODE}']")
+    return F.when(nested.isNull(), F.get_json_object(content, f"$['{key}']").try_cast(kind))
 
 
 def subtree_reuse(distinct: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def _json_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.array_objects(nested.occurrences(_json_documents(spark, d))).select(F.col("doc_key").alias("request_id"), "side", "node_path")
+    return nested.array_objects(nested.occurrences(_json_documents(spark, d))).where("NOT again").select(F.col("doc_key").alias("request_id"), "side", "node_path")
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -48,12 +48,44 @@ def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nested.occurrences(_json_documents(spark, d))
+    return nested.occurrences(_json_documents(spark, d)).drop("node_id", "parent_id", "again")
+
+
+#: The flat tables of chat and response bodies: relation, whether its objects stand alone, and their typed fields.
+RELATIONS: dict[str, tuple[str, bool, dict[str, str]]] = {
+    "messages": ("messages", False, {"role": "role", "content": "content", "tool_call_id": "tool_call_id"}),
+    "turns": ("input", False, {"role": "role"}),
+    "content_parts": ("content", False, {"type": "type", "text": "text"}),
+    "image_urls": ("image_url", True, {"url": "url", "detail": "detail"}),
+    "tools": ("tools", False, {"type": "type"}),
+    "tool_calls": ("tool_calls", False, {"id": "id", "type": "type"}),
+    "functions": ("function", True, {"name": "name", "description": "description", "arguments": "arguments"}),
+    "choices": ("choices", False, {"choice bigint": "index", "finish_reason": "finish_reason", "text": "text"}),
+    "answers": ("message", True, {"role": "role", "content": "content", "refusal": "refusal"}),
+    "outputs": ("output", False, {"type": "type", "role": "role"}),
+    "annotations": ("annotations", False, {"type": "type", "url": "url", "start_index bigint": "start_index", "end_index bigint": "end_index"}),
+    "top_logprobs": ("top_logprobs", False, {"token": "token", "logprob double": "logprob"}),
+    "usage": ("usage", True, {"input_tokens bigint": "input_tokens", "prompt_tokens bigint": "prompt_tokens", "output_tokens bigint": "output_tokens", "completion_tokens bigint": "completion_tokens", "total_tokens bigint": "total_tokens"}),
+}
+
+
+def _relation(name: str):
+    relation, single, fields = RELATIONS[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        bridge = cut(nested.occurrences(_json_documents(spark, d), with_content=True))
+        return nested.relation_table(bridge, nested.nodes(bridge), relation, fields, single).drop("node_id", "parent_id")
+
+    run.__name__ = f"p2_{name}"
+    run.__doc__ = f"The flat table of {name}, each row with the path of its parent."
+    return run
 
 
-def p2_messages(spark: SparkSession, d: str) -> DataFrame:
+def p2_logprobs(spark: SparkSession, d: str) -> DataFrame:
+    """Log probabilities of the chosen tokens: the parts called content whose parent stands under logprobs."""
     bridge = cut(nested.occurrences(_json_documents(spark, d), with_content=True))
-    return nested.relation_table(bridge, nested.nodes(bridge), "messages", {"role": "role", "content": "content", "tool_call_id": "tool_call_id"})
+    parts = nested.relation_table(bridge, nested.nodes(bridge), "content", {"token": "token", "logprob double": "logprob"})
+    return parts.where(F.col("parent_path").endswith("/logprobs/content")).drop("node_id", "parent_id")
 
 
 def graph() -> list[orphans.Edge]:
@@ -111,7 +143,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return skew.count_messages(table(spark, d, "requests"), "job_id", "request_id").select("job_id", "messages")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_kept_queue, p2_found, p2_nodes, p2_bridge, p2_messages, p3_found, p3_report, p4_found, p4_valid, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_kept_queue, p2_found, p2_nodes, p2_bridge, *map(_relation, RELATIONS), p2_logprobs, p3_found, p3_report, p4_found, p4_valid, p5_found, p5_counts)}
 
 _COUNTED = "SELECT job_id, CAST(count(DISTINCT request_id) + count(*) FILTER (request_id IS NULL) AS BIGINT) AS messages FROM requests WHERE job_id IS NOT NULL GROUP BY job_id"
 _REFS = r"""refs AS (
@@ -121,6 +153,25 @@ lives AS (SELECT id, min(arrived_at) AS arrived, min(deleted_at) AS deleted FROM
 _FIELD = '("(?:[^"]|"")*"|[^",]*)'
 _PLAIN = "CASE WHEN {0} LIKE '\"%' THEN replace({0}[2:-2], '\"\"', '\"') ELSE {0} END"
 
+_TREE = r"""
+WITH docs AS (SELECT request_id, 'params' AS side, params AS doc FROM inference_requests UNION ALL SELECT request_id, 'response', response FROM inference_responses),
+raw AS (SELECT d.request_id, d.side, t.id, t.parent, lower(t.type) AS type, t.key, t.fullkey, t.path, t.value FROM docs d, json_tree(d.doc) t),
+tree AS (SELECT a.request_id, a.side, replace(regexp_replace(a.fullkey[2:], '\[(\d+)\]', '/\1', 'g'), '.', '/') AS node_path,
+  CASE WHEN b.id IS NOT NULL THEN replace(regexp_replace(b.fullkey[2:], '\[(\d+)\]', '/\1', 'g'), '.', '/') END AS parent_path,
+  CASE WHEN a.type = 'array' AND b.type = 'object' THEN a.key ELSE regexp_extract(a.fullkey, '^.*\.([^.\[]+)\[', 1) END AS relation,
+  CASE WHEN b.type = 'object' THEN a.key END AS key, CASE WHEN b.type = 'array' THEN regexp_extract(a.fullkey, '\[(\d+)\]$', 1)::BIGINT END AS ordinal, a.type AS kind, b.type AS parent_kind, a.value
+  FROM raw a LEFT JOIN raw b ON a.request_id = b.request_id AND a.side = b.side AND a.parent = b.id WHERE a.type IN ('object', 'array'))"""
+
+
+def _relation_sql(relation: str, single: bool, fields: dict[str, str]) -> str:
+    columns = []
+    for spec, key in fields.items():
+        name, _, kind = spec.partition(" ")
+        columns.append(f"CASE WHEN json_type(value, '$.{key}') NOT IN ('OBJECT', 'ARRAY') THEN TRY_CAST(value ->> '$.{key}' AS {kind or 'VARCHAR'}) END AS {name}")
+    rows = f"kind = 'object' AND key = '{relation}'" if single else f"kind = 'object' AND parent_kind = 'array' AND relation = '{relation}'"
+    return f"{_TREE} SELECT request_id AS doc_key, side, node_path, parent_path, ordinal, {', '.join(columns)} FROM tree WHERE {rows}"
+
+
 _RECORDS = rf"""
 WITH r AS (SELECT file_id, line, CASE WHEN right(raw_text, 1) = chr(13) THEN raw_text[:-2] ELSE coalesce(raw_text, '') END AS t FROM raw_lines),
 f AS (SELECT *, regexp_full_match(t, '(?s){_FIELD}(,{_FIELD})*') AS well, regexp_extract(t, '(?s)^{",".join([_FIELD] * 6)}$', ['a', 'b', 'c', 'd', 'e', 'f']) AS x, regexp_full_match(t, '(?s){",".join([_FIELD] * 6)}') AS six FROM r),
@@ -143,6 +194,10 @@ tree AS (SELECT d.request_id, d.side, t.id, t.parent, t.type, t.fullkey FROM doc
 SELECT a.request_id, a.side, replace(regexp_replace(a.fullkey[2:], '\[(\d+)\]', '/\1', 'g'), '.', '/') AS node_path
 FROM tree a JOIN tree b ON a.request_id = b.request_id AND a.side = b.side AND a.parent = b.id
 WHERE a.type = 'OBJECT' AND b.type = 'ARRAY'""",
+    "p2_bridge": f"""{_TREE}
+SELECT request_id AS doc_key, side, node_path, parent_path, relation, key, CAST(ordinal AS BIGINT) AS ordinal, kind, parent_kind FROM tree""",
+    **{f"p2_{name}": _relation_sql(*spec) for name, spec in RELATIONS.items()},
+    "p2_logprobs": _relation_sql("content", False, {"token": "token", "logprob double": "logprob"}) + " AND parent_path LIKE '%/logprobs/content'",
     "p4_found": f"""{_RECORDS}
 SELECT file_id, line, CASE WHEN NOT well THEN 'quoting' WHEN NOT six THEN 'column_count' ELSE 'invalid_value' END AS reason FROM w WHERE {_REJECTED}""",
     "p4_valid": f"""{_RECORDS}
