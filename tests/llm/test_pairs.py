@@ -73,6 +73,32 @@ def test_frames(spark):
     assert {x.request_id: x.defect for x in found} == {k: d for k, (_, _, d) in cases.items() if d}
 
 
+def test_refusals_that_stand_alone_and_answers_that_only_sound_like_them(spark):
+    q = "How does {} work?"
+    cases = {
+        "alone": ("soil drainage", "I'd rather not get into that topic.", "refusal"), "french": ("wood drying", "Je ne répondrai pas à cette demande.", None),
+        "single": ("roof repair", "I can't provide a single number; it ranges between 4 and 6 litres.", None), "notice": ("lens cleaning", "I cannot help but notice that the soil drains better.", None),
+        "then": ("seed storage", "I can't discuss seed storage. Keep the jars dry and cool, and turn them every other week.", None),
+    }
+    asked = spark.createDataFrame([(k, ask(q.format(t))) for k, (t, _, _) in cases.items()], "request_id string, params string")
+    got = spark.createDataFrame([(k, chat(a)) for k, (_, a, _) in cases.items()], "request_id string, response string")
+    found = {x.request_id: x.defect for x in pairs.find(asked, got).collect()}
+    assert found.pop("french") in ("refusal", "other_language")
+    assert found == {k: d for k, (_, _, d) in cases.items() if d}
+
+
+def test_related_prompts_count_once():
+    a, b, c = (pairs._marks(t) for t in ("How does soil drainage work in a small garden?", "how does soil drainage work in a small GARDEN", "Qué errores son frecuentes"))
+    assert a == b and len(set(a) & set(c)) == 0
+
+
+def test_deep_json_is_a_pair_like_any_other(spark):
+    deep = '{"x":' + "[" * 5000 + "]" * 5000 + ',"choices":[{"index":0,"message":{"content":""}}]}'
+    asked = spark.createDataFrame([("a", ask("Why?"))], "request_id string, params string")
+    got = spark.createDataFrame([("a", deep)], "request_id string, response string")
+    assert [tuple(x) for x in pairs.find(asked, got).collect()] == [("a", "empty")]
+
+
 def test_empty_tables(spark):
     asked = spark.createDataFrame([], "request_id string, params string")
     got = spark.createDataFrame([], "request_id string, response string")

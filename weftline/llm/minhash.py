@@ -29,13 +29,19 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _closed(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (id, class_id) closed over links (id, other): the least label is passed on until nothing changes."""
+    """Labels (id, class_id) closed over links (id, other): the least label is passed on until nothing changes.
+
+    In each round every text takes the least label among its neighbours, and then the label of the text its label names, so
+    that the rounds grow with the logarithm of the longest chain.
+    """
     both = cut(links.unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
     if both.isEmpty():
         return labels
     while True:
         offered = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("class_id").alias("offered"))
-        new = cut(labels.join(offered, "id", "left").select("id", F.least("class_id", "offered").alias("new"), "class_id"))
+        taken = cut(labels.join(offered, "id", "left").select("id", F.least("class_id", "offered").alias("new"), "class_id"))
+        named = taken.select(F.col("id").alias("named"), F.col("new").alias("further"))
+        new = cut(taken.join(named, F.col("new") == F.col("named"), "left").select("id", F.least("new", "further").alias("new"), "class_id"))
         changed = not new.where(F.col("new") < F.col("class_id")).isEmpty()
         labels = new.select("id", F.col("new").alias("class_id"))
         if not changed:

@@ -1,41 +1,38 @@
 """Broken prompt and response pairs, each labelled with its type of defect.
 
-The openings of all responses are cut down to templates (numbers and words shared with the prompt become slots) and
-clustered by verified MinHash. A cluster that recurs across unrelated prompts and turns the prompt down is a refusal
-template; the statements that follow hardly anything but refusals are their closing phrases. Row-local checks for
-emptiness, copies, language and termination label the other defects; endings that are plain in lists are settled by
-how statements end elsewhere in the corpus.
+The openings of all responses are cut into clauses and down to templates (numbers and words shared with the prompt
+become slots), which are clustered by verified MinHash. Classes that recur across unrelated prompts show how this
+corpus refuses: a small model of what clauses do, trained on a labelled table of its own, is trained again on the
+recurring classes it is sure of, and then judges every class by its clauses and its recurrence. An answer is a refusal
+if a clause of its opening is of a refusing class and nothing it says has substance; closing phrases are clauses
+found mostly behind refusals. Row-local checks for emptiness, copies, language and termination label the other defects;
+endings that are plain in lists are settled by how statements end elsewhere in the corpus.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import clauses as clause_model
 from weftline.llm import language
 from weftline.llm.minhash import cluster
+from weftline.operators import nested
 from weftline.session import cut
 
-PAIR = "request_id string, prompt_id bigint, defect string, openings array<string>, declines array<boolean>, statements array<string>, ends array<string>, open_end string, open_word string, answer_id bigint"
+PAIR = "request_id string, prompt_id bigint, marks array<bigint>, defect string, clauses array<string>, opening int, statements array<string>, ends array<string>, open_end string, open_word string, answer_id bigint"
+MARKS = 4
+#: Where a statement has a clause of its own: signs, and words that set a clause against the one before.
+JOINT = re.compile(r"[;:–—]\s+|\s-\s|,\s+(?:but|yet|so|aber|doch|jedoch|daher|deshalb|mais|donc|alors|pero|así\s+que|por\s+eso|ma|mas|maar)\s+", re.I)
 #: What stands for no answer at all.
 NOTHING = frozenset("n/a na null none nil nan empty undefined blank todo tbd noanswer".split())
-#: Words with which a speaker turns a request down, per language.
-DECLINES = re.compile(
-    r"""\bI(?:\s+am|'m)?\s+(?:really\s+)?(?:can(?:no|')t|can\s+not|cannot|unable\s+to|not\s+able\s+to|must\s+decline|have\s+to\s+decline|won't\s+be|will\s+not\s+be|refuse|decline)\s*(?:to\s+)?(?:help|assist|answer|comply|discuss|provide|providing|respond|talk|do\s+that|share|give|continue)?
-    |\bcannot\s+assist\b|\bpermitted\s+to\s+(?:talk|answer|discuss)|against\s+my\s+(?:guidelines|rules|policy|policies)|appropriate\s+for\s+me\b|\bI'm\s+not\s+(?:able|allowed|permitted)
-    |\bich\s+(?:\w+\s+){0,3}(?:ablehnen|nicht\s+(?:helfen|beantworten|weiterhelfen|antworten))|\b(?:kann|darf|möchte)\s+ich\s+(?:\w+\s+){0,3}nicht|keine\s+Auskunft|gegen\s+meine\s+(?:Richtlinien|Regeln)|äußere\s+ich\s+mich\s+nicht
-    |\bje\s+(?:ne\s+(?:peux|puis)\s+pas|dois\s+(?:refuser|décliner)|refuse|ne\s+suis\s+pas\s+(?:autorisé|en\s+mesure))|impossible\s+de\s+(?:répondre|vous\s+aider)|(?:contr(?:e|aire\s+à)|à\s+l['’]encontre\s+de)\s+mes\s+(?:règles|consignes|principes)|\bje\s+préfère\s+(?:m['’]abstenir|ne\s+pas)
-    |\bno\s+puedo\b|\bdebo\s+negarme|no\s+me\s+está\s+permitido|contra\s+mis\s+normas|prefiero\s+no\s+contestar|no\s+estoy\s+autorizad
-    |\bnon\s+posso\b|\bdevo\s+rifiutare|\bnão\s+posso\b|\btenho\s+de\s+recusar|\bik\s+(?:kan|mag)\s+(?:\w+\s+){0,3}niet\b""",
-    re.I | re.X,
-)
-#: Verbs that make "I can't ..." no refusal.
-STRESS = re.compile(r"\bI\s+(?:can(?:no|')t|cannot)\s+(?:stress|emphasi[sz]e|recommend|say|tell\s+you\s+how|wait|overstate|praise)", re.I)
 LABEL = re.compile(r"^\s*[>*\"'«“„(\[]*\s*(?:\w{1,12}(?:\s\w{1,10})?\s?:|-)\s*")
 BULLET = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])\s+")
 ENDED = frozenset(".?!…:\"'”“»)]}>*`。！？")
@@ -132,8 +129,15 @@ def _template(statement: str, pairs: set[tuple[str, str]]) -> str:
     return " ".join(out)
 
 
-def _declines(text: str) -> bool:
-    return bool(DECLINES.search(text)) and not STRESS.search(text)
+def clauses(statement: str, pairs: set[tuple[str, str]]) -> list[str]:
+    """The templates of a statement's clauses; a clause without words is none."""
+    return [t for c in JOINT.split(statement) if (t := _template(c.replace("’", "'"), pairs))]
+
+
+def _marks(question: str) -> list[int]:
+    """MinHash values of the question's words: two questions agree in one as often as they have words in common."""
+    words = {hash_of(w) for w in WORDS.findall(question.lower())} or {0}
+    return [min((w * m + m) % _PRIME for w in words) for m in _FACTORS]
 
 
 def wrong_language(question: str, answer: str, lead: float = 6.0) -> bool:
@@ -150,27 +154,32 @@ def wrong_language(question: str, answer: str, lead: float = 6.0) -> bool:
     return best not in allowed and said[best] - max(said[a] for a in allowed) > lead
 
 
+def _parsed(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return nested.parse_deep(text)
+
+
 def _examine(request_id: str, params: str, response: str) -> tuple | None:
     try:
-        asked, got = json.loads(params), json.loads(response)
-    except (ValueError, RecursionError):
+        asked, got = _parsed(params), _parsed(response)
+    except ValueError:
         return None
     question = question_of(asked)
     answer, calls = answer_of(got)
     own = WORDS.findall(question.lower())
-    prompt_id, answer_id = hash_of(_letters(question)), hash_of(_letters(answer))
+    prompt_id, answer_id, marks = hash_of(_letters(question)), hash_of(_letters(answer)), _marks(question)
     if is_empty(answer):
-        return (request_id, prompt_id, None if calls else "empty", [], [], [], [], None, None, answer_id)
+        return (request_id, prompt_id, marks, None if calls else "empty", [], 0, [], [], None, None, answer_id)
     defect = "answer_copies_question" if copies(question, answer) else "other_language" if wrong_language(question, answer) else None
     said = statements(answer)
     if not said:
-        return (request_id, prompt_id, defect, [], [], [], [], None, None, answer_id)
+        return (request_id, prompt_id, marks, defect, [], 0, [], [], None, None, answer_id)
     pairs = set(zip(own, own[1:]))
     templates = [_template(s, pairs) for s in said]
-    # the opening as it is, and without its leading clause ("I am sorry, but ...")
-    opening = [templates[0]]
-    if (m := re.match(r"[^,:;]{2,60}[,:;]\s+(?:but\s+|aber\s+|mais\s+|pero\s+|así\s+que\s+|deshalb\s+)?(.+)", said[0], re.S)) and len(WORDS.findall(m[1])) >= 2:
-        opening.append(_template(m[1], pairs))
+    # the opening is the first two statements, as the first may be no more than a courtesy
+    parts = [clauses(s, pairs) for s in said]
     # endings: the last two words of every statement that is closed by a sign, or by the end of its list item
     lines = [line for line in answer.split("\n") if line.strip()]
     last = lines[-1].rstrip()
@@ -189,13 +198,17 @@ def _examine(request_id: str, params: str, response: str) -> tuple | None:
         open_word = _last_words(statements(last)[-1]) if statements(last) else ""
     elif last[-1] in ",;":
         open_end = "sentence"
-    return (request_id, prompt_id, defect, opening, [_declines(said[0])] * len(opening), templates, ends, open_end, open_word, answer_id)
+    return (request_id, prompt_id, marks, defect, [c for p in parts for c in p], sum(map(len, parts[:2])), templates, ends, open_end, open_word, answer_id)
 
 
 def _last_words(statement: str) -> str:
     return " ".join(("0" if w.isdigit() else w) for w in WORDS.findall(statement.lower())[-2:])
 
 
+_PRIME = (1 << 61) - 1
+_FACTORS = tuple(pow(7, 11 + 5 * i, _PRIME) for i in range(MARKS))
+
+
 def hash_of(text: str) -> int:
     import xxhash
 
@@ -215,21 +228,75 @@ def examine(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return asked.join(got, "request_id").mapInPandas(_examine_all, PAIR)
 
 
-def refusal_templates(pairs: DataFrame, prompts: int = 2, similarity: float = 0.8) -> DataFrame:
-    """(template): openings in clusters that recur across at least ``prompts`` different prompts and turn them down."""
-    openings = pairs.select("prompt_id", F.explode(F.arrays_zip("openings", "declines")).alias("o")).select("prompt_id", F.col("o.openings").alias("template"), F.col("o.declines").alias("declines"))
-    counted = cut(
-        openings.groupBy("template").agg(F.approx_count_distinct("prompt_id").alias("prompts"), F.min("prompt_id").alias("least"), F.max("prompt_id").alias("most"), F.avg(F.col("declines").cast("double")).alias("declines"))
-    )
-    classes = cluster(counted.select("template"), "template", similarity=similarity)
-    joined = counted.join(classes, "template")
-    # approximate counts say how many; whether there is more than one prompt at all is exact
-    wide = F.greatest(F.max("prompts"), F.when(F.min("least") < F.max("most"), 2).otherwise(1)) >= prompts
-    turning = joined.groupBy("class_id").agg(wide.alias("recurs"), F.max("declines").alias("declines")).where(F.col("recurs") & (F.col("declines") >= 0.5))
-    return joined.join(turning.select("class_id"), "class_id", "left_semi").where(F.col("declines") >= 0.5).select("template")
+def _probabilities(weights: np.ndarray):
+    shared = SparkSession.active().sparkContext.broadcast(weights)
 
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(clause_model.probabilities(shared.value, texts.tolist())))
 
-def find(requests: DataFrame, responses: DataFrame, closing_share: float = 0.6) -> DataFrame:
+    return run
+
+
+def _log_odds(p: Column) -> Column:
+    return F.log((p + 1e-6) / (1 - p + 1e-6))
+
+
+def judge_clauses(said: DataFrame, similarity: float = 0.8, sure: float = 0.85, learnt: int = 2_000, weight: float = 0.5, least: float = 0.5) -> DataFrame:
+    """(clause, refuses, p_refusal, p_polite): what the clauses of ``said`` (pair columns, marks, clause, opens) do.
+
+    Opening clauses are clustered; a class's recurrence is the number of unrelated prompts it answers (distinct MinHash
+    values of their words, the least of several counts, so prompts with most words in common count about once). Up to
+    ``learnt`` of the most recurring classes the model is sure of train it again; this bounds the training sample only. A
+    class refuses if the log-odds of its clauses and ``weight`` times the logarithm of its recurrence (at most 2)
+    make at least ``least``.
+    """
+    counted = cut(said.groupBy("clause").agg(F.max("opens").alias("opens")))
+    classes = cluster(counted.where("opens").select("clause"), "clause", similarity=similarity)
+    classes = cut(classes.withColumn("p", _probabilities(clause_model.general())("clause")))
+    marks = [F.approx_count_distinct(F.get("marks", F.lit(i))).alias(f"m{i}") for i in range(MARKS)]
+    recurring = said.where("opens").join(classes.select("clause", "class_id"), "clause").groupBy("class_id").agg(*marks)
+    recurring = cut(recurring.select("class_id", F.least(*[F.col(f"m{i}") for i in range(MARKS)]).alias("prompts")))
+    means = [F.avg(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(len(clause_model.CLASSES))]
+    per_class = classes.groupBy("class_id").agg(F.min("clause").alias("clause"), *means).join(recurring, "class_id")
+    # recurrence speaks for a refusal; what is no refusal must be so by its words alone
+    seen = F.lit(weight) * F.least(F.log(F.col("prompts").cast("double")), F.lit(2.0))
+    refusal = _log_odds(F.col(f"p{clause_model.REFUSAL}")) + seen >= math.log(sure / (1 - sure))
+    label = F.when(refusal, clause_model.REFUSAL)
+    for i in (clause_model.COURTESY, clause_model.OTHER):
+        label = label.when(F.col(f"p{i}") >= sure, i)
+    certain = per_class.where(F.col("prompts") > 1).withColumn("label", label).where(F.col("label").isNotNull())
+    sample = certain.orderBy(F.desc("prompts"), "clause").limit(learnt).collect()
+    own = [(r["clause"], r["label"]) for r in sample]
+    weights = clause_model.train(clause_model.labelled() + own) if own else clause_model.general()
+    judged = counted.select("clause", _probabilities(weights)("clause").alias("p"))
+    judged = cut(judged.select("clause", F.get("p", F.lit(clause_model.REFUSAL)).alias("p_refusal"), F.get("p", F.lit(clause_model.COURTESY)).alias("p_polite")))
+    odds = judged.join(classes.select("clause", "class_id"), "clause").groupBy("class_id").agg(F.avg(_log_odds(F.col("p_refusal"))).alias("odds"))
+    refusing = odds.join(recurring, "class_id").where(F.col("odds") + seen >= least).select("class_id")
+    refusing = classes.join(refusing, "class_id", "left_semi").select("clause", F.lit(True).alias("refuses"))
+    return judged.join(refusing, "clause", "left").withColumn("refuses", F.coalesce("refuses", F.lit(False)))
+
+
+def refusals_of(pairs: DataFrame, closing_share: float = 0.6, prior: float = 2.0) -> DataFrame:
+    """(request_id, prompt_id) of the answers that decline and give nothing else.
+
+    A clause is a closing phrase by its share behind refusals, to which the model's probability that it refuses or is
+    polite adds ``prior`` sightings: what is seen often is judged by where it stands, what is seen once by what it is.
+    A clause made of nothing but words of the question says nothing of its own.
+    """
+    said = pairs.select("request_id", "prompt_id", "marks", F.posexplode("clauses").alias("place", "clause"), "opening").withColumn("opens", F.col("place") < F.col("opening"))
+    said = said.where(F.col("clause") != "_").drop("place", "opening")
+    judged = cut(judge_clauses(said))
+    known = said.join(judged, "clause")
+    refused = cut(known.where("opens AND refuses").select("request_id", "prompt_id").distinct())
+    behind = known.join(refused.withColumn("refused", F.lit(1.0)), ["request_id", "prompt_id"], "left").withColumn("refused", F.coalesce("refused", F.lit(0.0)))
+    share = (F.sum("refused") + prior * F.first(F.col("p_refusal") + F.col("p_polite"))) / (F.count(F.lit(1)) + prior)
+    closing = behind.groupBy("clause").agg(share.alias("share"), F.first("refuses").alias("refuses")).where((F.col("share") < closing_share) & ~F.col("refuses")).select("clause")
+    substance = said.join(refused, ["request_id", "prompt_id"], "left_semi").join(closing, "clause", "left_semi").select("request_id", "prompt_id")
+    return refused.join(substance.distinct(), ["request_id", "prompt_id"], "left_anti")
+
+
+def find(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """(request_id, defect), one row per broken pair; a sound pair gives none.
 
     defect is the first that applies of ``empty``, ``answer_copies_question``, ``refusal``, ``other_language`` and
@@ -237,22 +304,19 @@ def find(requests: DataFrame, responses: DataFrame, closing_share: float = 0.6)
     read are no pairs. A null request_id joins nothing. Repeated ids give the pairs of all their rows, once.
     """
     pairs = cut(examine(requests, responses))
-    refusing = refusal_templates(pairs)
-    opened = pairs.where(F.col("defect").isNull() | (F.col("defect") == "other_language")).select("request_id", "prompt_id", F.explode("openings").alias("template"))
-    refused = cut(opened.join(refusing, "template", "left_semi").select("request_id", "prompt_id").distinct())
-    # what else those answers say: closing phrases are statements found mostly behind refusals
-    said = pairs.select("request_id", "prompt_id", F.posexplode("statements").alias("place", "statement"))
-    behind = said.join(refused.withColumn("refused", F.lit(True)), ["request_id", "prompt_id"], "left")
-    closing = behind.where(F.col("place") > 0).groupBy("statement").agg(F.avg(F.when(F.col("refused"), 1.0).otherwise(0.0)).alias("share")).where(F.col("share") >= closing_share)
-    more = behind.where(F.col("refused") & (F.col("place") > 0)).select("request_id", "prompt_id", "statement").join(closing.select("statement"), "statement", "left_anti").select("request_id", "prompt_id")
-    refusals = refused.join(more.distinct(), ["request_id", "prompt_id"], "left_anti").withColumn("refusal", F.lit(True))
+    open_ = pairs.where(F.col("defect").isNull() | (F.col("defect") == "other_language"))
+    refusals = refusals_of(open_).withColumn("refusal", F.lit(True))
     # how statements end: pairs of last words, and single last words for pairs not seen elsewhere
     # counted over distinct answers, so that copies of an answer change nothing
     endings = cut(pairs.select("answer_id", F.explode("ends").alias("end")).distinct())
     items = pairs.where(F.col("open_end") == "item").select("request_id", "prompt_id", F.col("open_word").alias("end")).distinct()
     items = cut(items.withColumn("word", F.substring_index("end", " ", -1)))
     word_ends = endings.select("answer_id", F.substring_index("end", " ", -1).alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("word_ends"))
-    inner = pairs.select("answer_id", F.explode("statements").alias("s")).select("answer_id", F.explode(_bigrams(F.col("s"))).alias("b"))
+    # only statements that hold a word some open item ends in can tell anything
+    asked_of = items.select("word").distinct()
+    holding = pairs.select("answer_id", F.explode("statements").alias("s")).distinct().select("answer_id", "s", F.explode(F.array_distinct(F.split("s", " "))).alias("word"))
+    holding = holding.join(asked_of, "word", "left_semi").select("answer_id", "s").distinct()
+    inner = holding.select("answer_id", F.explode(_bigrams(F.col("s"))).alias("b"))
     # a pair goes on if a word follows it, a word if it is the first of a pair; an item's own last words do not
     pair_inner = inner.where("b.goes_on").select(F.col("b.end").alias("end")).distinct().join(items.select("end"), "end", "left_semi").withColumn("goes_on", F.lit(True))
     word_inner = inner.where(F.col("b.end").contains(" ")).select("answer_id", F.substring_index("b.end", " ", 1).alias("word"))
