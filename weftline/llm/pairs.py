@@ -27,15 +27,17 @@ from weftline.llm.minhash import cluster
 from weftline.operators import nested
 from weftline.session import cut
 
-PAIR = "request_id string, prompt_id bigint, marks array<bigint>, defect string, clauses array<string>, opening int, statements array<string>, ends array<string>, open_end string, open_word string, answer_id bigint"
+PAIR = "request_id string, prompt_id bigint, marks array<bigint>, defect string, clauses array<string>, opening int, inner array<string>, ends array<string>, open_end string, open_word string, answer_id bigint"
 MARKS = 4
 #: Where a statement has a clause of its own: signs, and words that set a clause against the one before.
 JOINT = re.compile(r"[;:–—]\s+|\s-\s|,\s+(?:but|yet|so|aber|doch|jedoch|daher|deshalb|mais|donc|alors|pero|así\s+que|por\s+eso|ma|mas|maar)\s+", re.I)
 #: What stands for no answer at all.
 NOTHING = frozenset("n/a na null none nil nan empty undefined blank todo tbd noanswer".split())
-LABEL = re.compile(r"^\s*[>*\"'«“„(\[]*\s*(?:\w{1,12}(?:\s\w{1,10})?\s?:|-)\s*")
+LABEL = re.compile(r"^\s*[>*\"'«“„(\[]*\s*(?:\w++(?:\s\w++)?\s?:|-)\s*")
 BULLET = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])\s+")
 ENDED = frozenset(".?!…:\"'”“»)]}>*`。！？")
+NO_LETTER = re.compile(r"[\W_]+")
+_NOTHING = frozenset(NO_LETTER.sub("", x) for x in NOTHING)
 WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -89,12 +91,12 @@ def answer_of(response: object) -> tuple[str, bool]:
 
 
 def _letters(text: str) -> str:
-    return "".join(c for c in text.casefold() if c.isalnum())
+    return NO_LETTER.sub("", text.casefold())
 
 
 def is_empty(answer: str) -> bool:
     core = _letters(answer)
-    return not core or core in {_letters(x) for x in NOTHING}
+    return not core or core in _NOTHING
 
 
 def copies(question: str, answer: str) -> bool:
@@ -102,7 +104,7 @@ def copies(question: str, answer: str) -> bool:
     asked = _letters(question)
     if not asked:
         return False
-    for text in (answer, LABEL.sub("", answer, count=1), "\n".join(LABEL.sub("", line, count=1) for line in answer.split("\n"))):
+    for text in dict.fromkeys((answer, LABEL.sub("", answer, count=1), "\n".join(LABEL.sub("", line, count=1) for line in answer.split("\n")))):
         said = _letters(text)
         if said and len(said) % len(asked) == 0 and said == asked * (len(said) // len(asked)):
             return True
@@ -143,7 +145,7 @@ def _marks(question: str) -> list[int]:
 def wrong_language(question: str, answer: str, lead: float = 6.0) -> bool:
     """Whether the answer is in a language that is neither the question's nor one the question names."""
     plain = re.sub(r"```.*?(?:```|$)", " ", answer, flags=re.S)
-    if len(WORDS.findall(plain)) < 2 or sum(c.isalpha() for c in plain) < 12:
+    if not NO_LETTER.sub("", plain).strip("0123456789"):
         return False
     asked, said = language.scores(question), language.scores(plain)
     if not asked or not said:
@@ -177,7 +179,11 @@ def _examine(request_id: str, params: str, response: str) -> tuple | None:
     if not said:
         return (request_id, prompt_id, marks, defect, [], 0, [], [], None, None, answer_id)
     pairs = set(zip(own, own[1:]))
-    templates = [_template(s, pairs) for s in said]
+    # every word that another one follows, with the word before it
+    inner: set[str] = set()
+    for s in said:
+        words = _template(s, pairs).split(" ")
+        inner.update(map(" ".join, zip(["", *words], words[:-1])))
     # the opening is the first two statements, as the first may be no more than a courtesy
     parts = [clauses(s, pairs) for s in said]
     # endings: the last two words of every statement that is closed by a sign, or by the end of its list item
@@ -198,7 +204,7 @@ def _examine(request_id: str, params: str, response: str) -> tuple | None:
         open_word = _last_words(statements(last)[-1]) if statements(last) else ""
     elif last[-1] in ",;":
         open_end = "sentence"
-    return (request_id, prompt_id, marks, defect, [c for p in parts for c in p], sum(map(len, parts[:2])), templates, ends, open_end, open_word, answer_id)
+    return (request_id, prompt_id, marks, defect, [c for p in parts for c in p], sum(map(len, parts[:2])), list(inner), ends, open_end, open_word, answer_id)
 
 
 def _last_words(statement: str) -> str:
@@ -312,15 +318,11 @@ def find(requests: DataFrame, responses: DataFrame) -> DataFrame:
     items = pairs.where(F.col("open_end") == "item").select("request_id", "prompt_id", F.col("open_word").alias("end")).distinct()
     items = cut(items.withColumn("word", F.substring_index("end", " ", -1)))
     word_ends = endings.select("answer_id", F.substring_index("end", " ", -1).alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("word_ends"))
-    # only statements that hold a word some open item ends in can tell anything
-    asked_of = items.select("word").distinct()
-    holding = pairs.select("answer_id", F.explode("statements").alias("s")).distinct().select("answer_id", "s", F.explode(F.array_distinct(F.split("s", " "))).alias("word"))
-    holding = holding.join(asked_of, "word", "left_semi").select("answer_id", "s").distinct()
-    inner = holding.select("answer_id", F.explode(_bigrams(F.col("s"))).alias("b"))
-    # a pair goes on if a word follows it, a word if it is the first of a pair; an item's own last words do not
-    pair_inner = inner.where("b.goes_on").select(F.col("b.end").alias("end")).distinct().join(items.select("end"), "end", "left_semi").withColumn("goes_on", F.lit(True))
-    word_inner = inner.where(F.col("b.end").contains(" ")).select("answer_id", F.substring_index("b.end", " ", 1).alias("word"))
-    word_inner = word_inner.join(items.select("word").distinct(), "word", "left_semi").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("word_inner"))
+    # a pair goes on if a word follows it, as does a word; an item's own last words do not
+    inner = pairs.select("answer_id", F.explode("inner").alias("end")).withColumn("word", F.substring_index("end", " ", -1))
+    inner = cut(inner.join(items.select("word").distinct(), "word", "left_semi").distinct())
+    pair_inner = inner.select("end").distinct().withColumn("goes_on", F.lit(True))
+    word_inner = inner.select("answer_id", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("word_inner"))
     settled = (
         items.join(endings.select("end").distinct().withColumn("ends", F.lit(True)), "end", "left").join(pair_inner, "end", "left")
         .join(word_ends, "word", "left").join(word_inner, "word", "left")
@@ -337,8 +339,3 @@ def find(requests: DataFrame, responses: DataFrame) -> DataFrame:
     )
     return judged.select("request_id", defect.alias("defect")).where(F.col("defect").isNotNull()).distinct()
 
-
-def _bigrams(text):
-    words = F.split(text, " ")
-    last = F.greatest(F.size(words) - 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)).alias("end"), (i < last).alias("goes_on")))
