@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from json.decoder import scanstring
@@ -16,16 +17,19 @@ from pyspark.sql import functions as F
 
 from weftline.llm import crf
 from weftline.llm.pii_labels import labelled_table
+from weftline.operators import nested
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
-TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|[^\w\s]|_")
+TOKEN = re.compile(r"[ \t\xa0]?(?:[^\W\d_]+|\d+|[^\w\s]|_)|\n")  # a blank before a token stays with it
+BLANKS = " \t\xa0"
 LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
-NAMES_LIMIT = 100_000  # the name list is a fixed table; a list beyond this is refused rather than broadcast
+NAMES_LIMIT = 100_000  # the name list is a fixed table of one feature's values; a list beyond this is refused rather than broadcast
 FOUND = "row_id bigint, request_id string, pii_type string, pii_key string, start int, stop int"
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:
-    return [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text)]
+    """(token with the blank before it, start without that blank, end)."""
+    return [(t := m.group(), m.start() + (t[0] in BLANKS), m.end()) for m in TOKEN.finditer(text)]
 
 
 def _fold(text: str) -> str:
@@ -39,10 +43,12 @@ class Describe:
         self.given, self.family, self.words = given, family, words
 
     def __call__(self, token: str) -> list[str]:
+        joint = "j" if token[0] not in BLANKS else ""  # nothing stands between this token and the one before
+        token = token if joint else token[1:]
         low = token.lower()
-        out = ["1"]
+        out = ["1", "1" + joint] if joint else ["1"]
         if token.isdigit():
-            out += [f"d{min(len(token), 16)}", "digit", f"d{min(len(token), 16)}:{token[0]}"]
+            out += [f"d{min(len(token), 16)}", f"d{min(len(token), 16)}{joint}", "digit", f"d{min(len(token), 16)}:{token[0]}"]
             if token[0] == "0":
                 out.append("d0")
         elif token[0].isalpha():
@@ -51,12 +57,12 @@ class Describe:
                 kind += "1"
             elif len(token) == 2:
                 kind += "2"
-            out += ["shape:" + kind, f"len{min(len(token), 8)}:{kind[0]}"]
+            out += ["shape:" + kind, "shape:" + kind + joint, f"len{min(len(token), 8)}:{kind[0]}"]
             if self.words is None or low in self.words:
                 out.append("w:" + low)
                 out.append("W:" + token)
             else:
-                out.append("rare")
+                out += ["rare", "rare:" + kind]
             for k in (2, 3, 4):
                 if len(low) > k:
                     out.append(f"s{k}:{low[-k:]}")
@@ -67,27 +73,27 @@ class Describe:
             if folded in self.family:
                 out.append("family")
         else:
-            out.append("p:" + token)
+            out += ["p:" + token, "p:" + token + joint]
         return out
 
 
 PUNCTUATION = "\n.,-()@+/:'_["  # each a class of its own; all other signs share one
-CLASSES = 36
+CLASSES = 52
 
 
 def classify(token: str) -> int:
     """The coarse shape class of a token, for the triples of neighbouring shapes."""
+    joint = 16 if token[0] not in BLANKS else 0
+    token = token if joint else token[1:]
     if token.isdigit():
-        return 20 + min(len(token), 7)
+        return joint + 20 + min(len(token), 7)
     if not token[0].isalpha():
         return 1 + PUNCTUATION.index(token) if token in PUNCTUATION else 18
     if token.isupper():
-        return 28 if len(token) == 1 else 29
+        return joint + (28 if len(token) == 1 else 29)
     if not token.islower():
-        return 30
-    if len(token) == 1:
-        return 31
-    return 32 if token in ("bis", "ext", "bajo", "qq") else 33 if len(token) <= 3 else 34
+        return joint + 30
+    return joint + (31 if len(token) == 1 else 33 if len(token) <= 3 else 34)
 
 
 def _tagged(pieces: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
@@ -109,37 +115,47 @@ def _tagged(pieces: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
 
 
 @lru_cache(maxsize=4)
-def trained(given: frozenset[str], family: frozenset[str], least: int = 3) -> tuple[crf.Model, Describe]:
-    """The model over the labelled table; words seen fewer than ``least`` times are described by shape and ending only."""
-    pairs = [_tagged(t) for t in labelled_table()]
+def trained(given: frozenset[str], family: frozenset[str], least: int = 4, fold: tuple[int, int] | None = None) -> tuple[crf.Model, Describe]:
+    """The model over the labelled table; words seen fewer than ``least`` times are described by shape and ending only.
+
+    It is fitted once per session's driver, and its weights are sent to the executors. fold leaves frames out, for tests.
+    """
+    pairs = [_tagged(t) for t in labelled_table(fold=fold)]
     counts: dict[str, int] = {}
     for words, _ in pairs:
         for w in words:
-            counts[w.lower()] = counts.get(w.lower(), 0) + 1
+            low = w.lower().lstrip(BLANKS)
+            counts[low] = counts.get(low, 0) + 1
     describe = Describe(given, family, frozenset(w for w, n in counts.items() if n >= least))
     return crf.train([w for w, _ in pairs], [t for _, t in pairs], describe, classify, CLASSES), describe
 
 
-EMAIL = re.compile(r"[\w.+-]+\s?(?:@|\[at\]|\(at\))\s?[a-z0-9-]+(?:(?:\.|\s?[\[(]dot[\])]\s?)[a-z0-9-]*[a-z][a-z0-9-]*)+", re.I)
-EXTENSION = re.compile(r"[\s,;]*(?:ext|extension|x|durchwahl|poste)\b.*$", re.I | re.S)
+# no start within a run of word signs, no way back into one: linear in any text
+EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]++\s?(?:@|\[at\]|\(at\))\s?[a-z0-9-]+(?:(?:\.|\s?[\[(]dot[\])]\s?)[a-z0-9-]*[a-z][a-z0-9-]*)+", re.I)
+EXTENSION = re.compile(r"[\s,;]*(?:\b|(?<=\d))(?:ext|extension|extensión|x|durchwahl|poste|apparat)\b.*$", re.I | re.S)
+
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in EMAIL.finditer(text)]
 
-def _checked(text: str, kind: str, start: int, stop: int) -> tuple[int, int] | None:
-    """The exact check of one decoded span: what cannot be of its type is dropped, stray edges are cut."""
+
+def _checked(text: str, kind: str, start: int, stop: int, emails: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The exact check of one decoded span: what cannot be of its type is dropped, stray edges are cut.
+
+    An email's edges are those of the address-like run it lies in, wherever these are.
+    """
     if kind == "email":
-        for m in EMAIL.finditer(text, max(0, start - 80), min(len(text), stop + 80)):
-            if m.start() < stop and m.end() > start:
-                return m.start(), m.end()
-        return None
+        at = bisect_right(emails, (stop,)) - 1
+        return emails[at] if at >= 0 and emails[at][1] > start else None
     span = text[start:stop]
     if kind == "phone":
         span = EXTENSION.sub("", span)
         stop = start + len(span)
         if start and text[start - 1] in "+(" and text[start].isdigit():
             start -= 1
-        return (start, stop) if 9 <= sum(c.isdigit() for c in span) <= 15 else None
+        return (start, stop) if sum(c.isdigit() for c in span) >= 3 else None
     if kind == "id_number":
-        return (start, stop) if 6 <= sum(c.isdigit() for c in span) <= 15 else None
+        return (start, stop) if any(c.isdigit() for c in span) else None
     if kind == "street_address":
         street, comma, last = span.rpartition(",")
         if comma and any(c.isdigit() for c in street) and last.strip()[:1].isupper() and not any(c.isdigit() for c in last):
@@ -168,13 +184,14 @@ def spans(model: crf.Model, describe: Describe, texts: list[str]) -> list[list[t
                 now = [tag[2:], start, stop]
                 found.append(now)
         exact: list[tuple[str, int, int]] = []
+        emails = _emails(text) if any(kind == "email" for kind, _, _ in found) else []
         for kind, start, stop in found:
             if kind == "person_name":
                 start += len(text[start:stop]) - len(text[start:stop].lstrip(" ,;:-\n"))
                 stop -= len(text[start:stop]) - len(text[start:stop].rstrip(" ,;:-\n"))
             if kind == "person_name" and exact and exact[-1][0] == "street_address" and re.fullmatch(r",\s*(?:\d{4,6}\s+)?", text[exact[-1][2] : start]):
                 continue  # the town after a street
-            if (e := _checked(text, kind, start, stop)) and (not exact or e[0] >= exact[-1][2]):
+            if (e := _checked(text, kind, start, stop, emails)) and (not exact or e[0] >= exact[-1][2]):
                 exact.append((kind, *e))
         out.append(exact)
     return out
@@ -189,7 +206,12 @@ def literals(body: str) -> list[tuple[int, int, str]]:
     """(start, stop, decoded text) of the strings in a JSON body; of any other body the whole as one text."""
     try:
         json.loads(body, parse_int=len)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            nested.parse_deep(body)
+        except ValueError:
+            return [(0, len(body), body)]
+    except ValueError:
         return [(0, len(body), body)]
     return [(m.start(), m.end(), scanstring(body, m.start() + 1, False)[0]) for m in LITERAL.finditer(body)]
 
@@ -225,7 +247,7 @@ def masked(body: str, found: list[tuple[int, int, str, list[tuple[str, int, int]
 def _decode(model: crf.Model, describe: Describe, bodies: list[str | None]) -> list[list[tuple[int, int, str, list]]]:
     """Per body its literals with spans; equal texts of a batch are decoded once."""
     pieces = [[] if b is None else literals(b) for b in bodies]
-    texts = list({t: None for p in pieces for _, _, t in p if len(t) > 3})
+    texts = list({t: None for p in pieces for _, _, t in p})
     known = dict(zip(texts, spans(model, describe, texts)))
     return [[(a, b, t, known[t]) for a, b, t in p if known.get(t)] for p in pieces]
 
