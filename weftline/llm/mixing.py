@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
-A classifier trained on a bounded labelled sample gives every document a soft membership in the sources. Projected
-gradient steps then look for nonnegative rates, at most the source's repeats, whose expected tokens per source match
-the targets. A document's rate depends only on its memberships and on the residuals of the steps so far, so a step is
-one aggregate of a few sums, and no rates are stored. The rates become whole copies by a threshold per source, found
-by bisection over all documents, which is the exact check that the shares of the labelled sources are reached.
+A classifier of whole texts, trained on a bounded labelled sample and never told a record's source, gives every document
+a soft membership in the sources. Projected gradient steps then look for nonnegative rates, at most the source's
+repeats, for which the expected tokens per domain and the tokens per labelled source both match the targets in the
+least-squares sense. Documents of one source with the same quantised membership move alike, so the steps run over the
+histogram of those cells, not over the documents. The rates become whole copies by a threshold per source, read off a
+histogram of bins, and a few documents change places until each source's tokens are as close to its target as they get:
+the exact check that the shares of the labelled sources are reached.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import cut
@@ -26,7 +28,10 @@ BUCKETS = 4096
 SAMPLE = 4_000  # labelled documents the classifier is trained on, at most; each brings at most BUCKETS numbers to the driver
 MAX_SOURCES = 10_000
 WORD = re.compile(r"[^\W\d_]{2,}|\d+[:.,]\d+|[^\w\s]")
-GRID = 64
+LEVELS = 16  # steps a membership is rounded to
+BINS = 1024  # bins between one copy and the next
+ROUNDS = 12  # exchanges per source at the end, at most
+MAX_LENGTH = 1_000_000  # documents beyond this many tokens do not change places at the end; one count per length goes to the driver
 
 
 @dataclass(frozen=True)
@@ -44,16 +49,13 @@ def read_targets(targets: DataFrame) -> list[Target]:
     return sorted((Target(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in rows), key=lambda t: t.source)
 
 
-def _features(source: str | None, text: str | None) -> np.ndarray:
-    """Hashed features: the source the record claims, and the presence of words and signs of its whole text."""
+def _features(text: str | None) -> np.ndarray:
+    """Hashed presence of the words and signs of the whole text."""
     found = set(WORD.findall((text or "").lower()))
-    out = [xxhash.xxh32_intdigest("w:" + w) % (BUCKETS - 1024) for w in found]
-    if source is not None:
-        out.append(BUCKETS - 1024 + xxhash.xxh32_intdigest("s:" + source) % 1024)
-    return np.unique(np.array(out or [0], dtype=np.int64))
+    return np.unique(np.array([xxhash.xxh32_intdigest(w) % BUCKETS for w in found] or [0], dtype=np.int64))
 
 
-def train(sample: list[tuple[str, np.ndarray]], sources: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 3) -> np.ndarray:
+def train(sample: list[tuple[str, np.ndarray]], sources: list[str], epochs: int = 6, rate: float = 0.3, decay: float = 1e-3, seed: int = 3) -> np.ndarray:
     """Softmax regression by AdaGrad over the labelled sample: feature x source weights, the last row the bias."""
     number = {s: i for i, s in enumerate(sources)}
     k = len(sources)
@@ -64,109 +66,190 @@ def train(sample: list[tuple[str, np.ndarray]], sources: list[str], epochs: int
     for _ in range(epochs):
         for i in random.permutation(len(data)):
             at, y = data[i]
-            # the claimed source weighs as much as all words of the text together
-            value = np.full(len(at), 1.0 / math.sqrt(len(at)))
-            value[at >= BUCKETS - 1024] = 1.0
-            z = value @ weights[at]
+            value = 1.0 / math.sqrt(len(at))
+            z = value * weights[at].sum(0)
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y] -= 1.0
-            gradient = value[:, None] * p[None, :]
+            gradient = value * p[None, :] + decay * weights[at]
             squares[at] += gradient * gradient
             weights[at] -= rate * gradient / np.sqrt(squares[at])
     return weights.astype(np.float32)
 
 
-def _posterior(weights: np.ndarray, source: str | None, text: str | None) -> np.ndarray:
-    at = np.append(_features(source, text), BUCKETS)
-    value = np.full(len(at), 1.0 / math.sqrt(len(at)), dtype=np.float32)
-    value[at >= BUCKETS - 1024] = 1.0
-    z = value @ weights[at]
+def _posterior(weights: np.ndarray, text: str | None) -> np.ndarray:
+    at = np.append(_features(text), BUCKETS)
+    z = weights[at].sum(0) / math.sqrt(len(at))
     p = np.exp(z - z.max())
     return p / p.sum()
 
 
-def memberships(documents: DataFrame, sources: list[str], key: str, text: str, tokens: str, sample: int = SAMPLE) -> DataFrame:
-    """(k, source, n, p): each listed document's length and posterior over the sources."""
-    spark = documents.sparkSession
-    own = documents.where(F.col("source").isin(sources))
-    # the sample has the least hashes of all rows, so it is the same whatever the partitioning
-    place = F.pmod(F.xxhash64(key, "source", F.lit(17)), F.lit(1_000_000))
-    total = own.count()
-    share = min(1.0, 1.5 * sample / max(total, 1))
-    drawn = own.where(place < int(share * 1_000_000)).select("source", F.col(text).alias("t"), place.alias("place"))
+def _quantised(p: np.ndarray) -> bytes:
+    q = np.floor(p * LEVELS + 0.5)
+    q[p.argmax()] = max(q[p.argmax()], 1)
+    return q.astype(np.uint8).tobytes()
+
+
+def _memberships(cells: pd.Series) -> np.ndarray:
+    q = np.stack([np.frombuffer(c, dtype=np.uint8) for c in cells]).astype(np.float64)
+    return q / q.sum(1, keepdims=True)
+
+
+def labelled_sample(own: DataFrame, sources: list[str], key: str, text: str, sample: int) -> list[tuple[str, np.ndarray]]:
+    """(source, features) of the rows of least hash of each source, as many of each as fit into ``sample``.
+
+    Partitioning and the order of rows play no part.
+    """
+    quota = max(1, sample // max(len(sources), 1))
+    place = F.pmod(F.xxhash64(key, "source", F.lit(17)), F.lit(1 << 40))
+    counts = {r["source"]: r["n"] for r in own.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    # with half as many again and sixteen more, fewer than the quota come through about never
+    limits = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(int(min(1.0, (1.5 * quota + 16) / n) * (1 << 40))))])
+    drawn = own.select("source", F.col(text).alias("t"), place.alias("place")).where(F.col("place") < limits[F.col("source")])
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"source": pdf["source"], "f": [_features(s, t).astype(np.int32) for s, t in zip(pdf["source"], pdf["t"])]})
+            yield pd.DataFrame({"source": pdf["source"], "place": pdf["place"], "f": [_features(t).astype(np.int32) for t in pdf["t"]]})
 
-    labelled = drawn.orderBy("place", "source", "t").limit(sample).select("source", "t").mapInPandas(describe, "source string, f array<int>").collect()
-    weights = spark.sparkContext.broadcast(train(sorted(((r["source"], r["f"]) for r in labelled), key=str), sources))
+    rows = drawn.mapInPandas(describe, "source string, place bigint, f array<int>").collect()
+    out: list[tuple[str, np.ndarray]] = []
+    for s in sources:
+        mine = sorted((r["place"], tuple(r["f"])) for r in rows if r["source"] == s)
+        out += [(s, np.array(f, dtype=np.int64)) for _, f in mine[:quota]]
+    return out
+
+
+def memberships(documents: DataFrame, sources: list[str], key: str, text: str, tokens: str, sample: int = SAMPLE) -> DataFrame:
+    """(k, source, n, p): each listed document's length and its quantised posterior over the sources, from its text alone."""
+    spark = documents.sparkSession
+    own = documents.where(F.col("source").isin(sources))
+    weights = spark.sparkContext.broadcast(train(labelled_sample(own, sources, key, text, sample), sources))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            p = [_posterior(weights.value, s, t) for s, t in zip(pdf["source"], pdf["t"])]
-            yield pd.DataFrame({"k": pdf["k"], "source": pdf["source"], "n": pdf["n"], "p": p})
+            yield pd.DataFrame({"k": pdf["k"], "source": pdf["source"], "n": pdf["n"], "p": [_quantised(_posterior(weights.value, t)) for t in pdf["t"]]})
 
     read = own.select(F.col(key).cast("string").alias("k"), "source", F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n"), F.col(text).alias("t"))
-    return read.mapInPandas(run, "k string, source string, n bigint, p array<float>")
+    return read.mapInPandas(run, "k string, source string, n bigint, p binary")
 
 
-def _rates(p: np.ndarray, caps: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """The rates after the steps so far: each moves against the residuals of the document's sources, then into [0, cap]."""
-    rates = np.minimum(1.0, caps)
+def _rates(p: np.ndarray, at: np.ndarray, caps: np.ndarray, start: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
+    """The rates after the steps so far: each moves against the residuals of its domains and of its source, then into [0, cap]."""
+    k = len(start)
+    rates = np.minimum(start[at], caps)
     for residual in history:
-        rates = np.clip(rates - p @ residual, 0.0, caps)
+        rates = np.clip(rates - p @ residual[:k] - residual[k:][at], 0.0, caps)
     return rates
 
 
-def solve(members: DataFrame, targets: list[Target], size: float | None = None, steps: int = 25, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(residuals of every step, wanted tokens per source, caps per source).
+@dataclass(frozen=True)
+class Plan:
+    """What a document's rate follows from: the steps, the start and the caps per source; and the wanted tokens."""
+
+    history: list[np.ndarray]
+    start: np.ndarray
+    caps: np.ndarray
+    wanted: np.ndarray
+
+
+def solve(cells: DataFrame, targets: list[Target], size: float | None = None, steps: int = 25, close: float = 1e-4, pace: float = 0.5) -> Plan:
+    """Projected gradient steps over cells (source, p, n), the histogram of sources and memberships.
 
     The mixture's size is ``size`` tokens, or the most that lets every source that occurs reach its share.
     """
     names = [t.source for t in targets]
     number = {s: i for i, s in enumerate(names)}
+    k = len(names)
     caps, shares = np.array([float(t.repeats) for t in targets]), np.array([t.share for t in targets])
-    have = np.zeros(len(names))
-    for r in members.groupBy("source").agg(F.sum("n").alias("n")).collect():
+    have = np.zeros(k)
+    for r in cells.groupBy("source").agg(F.sum("n").alias("n")).collect():
         have[number[r["source"]]] = r["n"]
     there = have > 0
     if not there.any():
-        return [], np.zeros(len(names)), caps
+        return Plan([], np.zeros(k), caps, np.zeros(k))
     most = float((caps[there] * have[there] / shares[there]).min())
     wanted = np.where(there, shares, 0) * min(size or most, most)
+    start = np.where(there, wanted / np.maximum(have, 1e-9), 0.0)
     history: list[np.ndarray] = []
 
     def sums() -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            got, whole = np.zeros(len(names)), np.zeros(len(names))
+            got, whole = np.zeros(2 * k), np.zeros(2 * k)
             for pdf in batches:
                 if len(pdf):
-                    p = np.stack(pdf["p"].to_numpy()).astype(np.float64)
-                    n = pdf["n"].to_numpy(np.float64)
-                    own = caps[[number[s] for s in pdf["source"]]]
-                    got += (_rates(p, own, history) * n) @ p
-                    whole += n @ p
-            yield pd.DataFrame({"i": range(len(names)), "got": got, "whole": whole})
-
-        rows = members.mapInPandas(run, "i int, got double, whole double").groupBy("i").agg(F.sum("got").alias("got"), F.sum("whole").alias("whole")).collect()
-        got, whole = np.zeros(len(names)), np.ones(len(names))
+                    p, n = _memberships(pdf["p"]), pdf["n"].to_numpy(np.float64)
+                    at = np.array([number[s] for s in pdf["source"]])
+                    taken = _rates(p, at, caps[at], start, history) * n
+                    got += np.concatenate([taken @ p, np.bincount(at, taken, k)])
+                    whole += np.concatenate([n @ p, np.bincount(at, n, k)])
+            yield pd.DataFrame({"i": range(2 * k), "got": got, "whole": whole})
+
+        rows = cells.mapInPandas(run, "i int, got double, whole double").groupBy("i").agg(F.sum("got").alias("got"), F.sum("whole").alias("whole")).collect()
+        got, whole = np.zeros(2 * k), np.ones(2 * k)
         for r in rows:
             got[r["i"]], whole[r["i"]] = r["got"], r["whole"]
         return got, whole
 
+    goal, last = np.concatenate([wanted, wanted]), math.inf
     for _ in range(steps):
         got, whole = sums()
-        residual = (got - wanted) / np.maximum(whole, 1e-9)
-        if np.abs(got - wanted).max() <= close * wanted.sum():
+        off = float(np.square(got - goal).sum())
+        # near the least squares the sum no longer falls
+        if off <= (close * wanted.sum()) ** 2 or off > last * (1 - close):
             break
-        history.append(residual)
-    return history, wanted, caps
+        last = off
+        history.append(pace * (got - goal) / np.maximum(whole, 1e-9))
+    return Plan(history, start, caps, wanted)
+
+
+def _shifts(bins: np.ndarray, tokens: np.ndarray, cap: int, wanted: float) -> int:
+    """The shift, in bins, with which whole copies come closest to the wanted tokens without exceeding them."""
+    low, high = -int(bins.max(initial=0)) - 1, (cap + 1) * BINS
 
+    def reached(shift: int) -> float:
+        return float((np.clip((bins + shift) // BINS, 0, cap) * tokens).sum())
 
-def _copies(rates: np.ndarray, draw: np.ndarray, shift: np.ndarray, caps: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(rates + shift + draw), 0, caps)
+    while high - low > 1:  # the total grows with the shift
+        mid = (low + high) // 2
+        low, high = (mid, high) if reached(mid) <= wanted else (low, mid)
+    return low
+
+
+def exchanges(lengths: np.ndarray, more: np.ndarray, fewer: np.ndarray, gap: float, rounds: int = ROUNDS) -> tuple[dict[int, int], float]:
+    """({length: copies to add or drop}, what gap is left): single changes and swaps that bring the gap down to nothing.
+
+    more and fewer say of how many documents of a length one copy more, or one fewer, may be taken.
+    """
+    change: dict[int, int] = {}
+    more, fewer = more.copy(), fewer.copy()
+    for _ in range(rounds):
+        adding, dropping = np.flatnonzero(more > 0), np.flatnonzero(fewer > 0)
+        best: tuple[float, int | None, int | None] = (abs(gap), None, None)
+        sizes = lengths[adding]
+        for drops in (np.array([-1]), dropping):
+            base = np.where(drops < 0, 0, lengths[drops]) if len(drops) else np.array([])
+            for d, need in zip(drops, gap + base):
+                if d >= 0 and abs(gap + lengths[d]) < best[0]:
+                    best = (abs(gap + lengths[d]), None, int(d))
+                if len(sizes):
+                    at = int(np.searchsorted(sizes, need))
+                    for j in (at - 1, at):
+                        if 0 <= j < len(sizes) and adding[j] != d and abs(need - sizes[j]) < best[0]:
+                            best = (abs(need - sizes[j]), int(adding[j]), int(d) if d >= 0 else None)
+        if best[1] is None and best[2] is None:
+            break
+        _, add, drop = best
+        if add is not None:
+            gap -= lengths[add]
+            more[add] -= 1
+            change[int(lengths[add])] = change.get(int(lengths[add]), 0) + 1
+        if drop is not None:
+            gap += lengths[drop]
+            fewer[drop] -= 1
+            change[int(lengths[drop])] = change.get(int(lengths[drop]), 0) - 1
+    return {n: c for n, c in change.items() if c}, gap
 
 
 def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", tokens: str = "tokens", size: float | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -184,46 +267,51 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
         return spark.createDataFrame([], schema)
     names = [t.source for t in wanted_by]
     number = {s: i for i, s in enumerate(names)}
-    members = cut(memberships(documents, names, key, text, tokens, sample).withColumn("draw", F.pmod(F.xxhash64("k", "source", F.lit(5)), F.lit(1 << 40)) / F.lit(float(1 << 40))))
-    history, wanted, caps = solve(members, wanted_by, size)
-    low, high = np.full(len(names), -caps.max() - 1.0), np.full(len(names), caps.max() + 1.0)
-
-    # all documents are tried against a grid of shifts per source at once; the grid narrows round by round
-    for _ in range(5):
-        grids = np.linspace(low, high, GRID)
+    members = cut(memberships(documents, names, key, text, tokens, sample))
+    cells = cut(members.groupBy("source", "p").agg(F.sum("n").alias("n")))
+    plan = solve(cells, wanted_by, size)
+    # the same rate for a whole cell, and a draw per row to round it by
+    draw = F.pmod(F.xxhash64("k", "source", "n", F.lit(5)), F.lit(BINS)).cast("int")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((GRID, len(names)))
-            for pdf in batches:
-                if len(pdf):
-                    at = np.array([number[s] for s in pdf["source"]])
-                    rates = _rates(np.stack(pdf["p"].to_numpy()).astype(np.float64), caps[at], history)
-                    n, draw = pdf["n"].to_numpy(np.float64), pdf["draw"].to_numpy()
-                    for g in range(GRID):
-                        total[g] += np.bincount(at, _copies(rates, draw, grids[g][at], caps[at]) * n, minlength=len(names))
-            yield pd.DataFrame({"g": np.repeat(range(GRID), len(names)), "i": list(range(len(names))) * GRID, "n": total.ravel()})
-
-        reached = np.zeros((GRID, len(names)))
-        for r in members.mapInPandas(run, "g int, i int, n double").groupBy("g", "i").agg(F.sum("n").alias("n")).collect():
-            reached[r["g"], r["i"]] = r["n"]
-        # totals grow with the shift: the last shift at or under the target, and the one after it
-        under = np.maximum((reached <= wanted[None, :]).sum(0) - 1, 0)
-        over = np.minimum(under + 1, GRID - 1)
-        rows = np.arange(len(names))
-        low, high = grids[under, rows], grids[over, rows]
-        nearer = np.where(np.abs(reached[under, rows] - wanted) <= np.abs(reached[over, rows] - wanted), low, high)
-    shift = nearer
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 at = np.array([number[s] for s in pdf["source"]])
-                rates = _rates(np.stack(pdf["p"].to_numpy()).astype(np.float64), caps[at], history)
-                copies = _copies(rates, pdf["draw"].to_numpy(), shift[at], caps[at])
-                yield pd.DataFrame({"k": pdf["k"], "source": pdf["source"], "tokens": pdf["n"], "rate": rates, "copies": copies.astype(np.int32)})
-
-    mixed = members.mapInPandas(write, "k string, source string, tokens bigint, rate double, copies int")
-    return mixed.select(F.col("k").cast(kind).alias(key), "source", "tokens", "rate", "copies")
+                rates = _rates(_memberships(pdf["p"]), at, plan.caps[at], plan.start, plan.history)
+                yield pd.DataFrame({"k": pdf["k"], "source": pdf["source"], "n": pdf["n"], "rate": rates, "bin": np.floor(rates * BINS).astype(np.int32) + pdf["draw"]})
+
+    rated = members.withColumn("draw", draw).mapInPandas(rate, "k string, source string, n bigint, rate double, bin int")
+    rated = cut(rated.withColumn("row", F.monotonically_increasing_id()))
+    # at most (largest repeats + 1) times BINS rows per source
+    bins: dict[str, list] = {}
+    for r in rated.groupBy("source", "bin").agg(F.sum("n").alias("n")).collect():
+        bins.setdefault(r["source"], []).append((r["bin"], r["n"]))
+    shift = {s: _shifts(*(np.array(x) for x in zip(*rows)), wanted_by[number[s]].repeats, float(plan.wanted[number[s]])) for s, rows in bins.items()}
+    if not shift:
+        return spark.createDataFrame([], schema)
+    cap = F.create_map(*[x for t in wanted_by for x in (F.lit(t.source), F.lit(t.repeats))])[F.col("source")]
+    moved = F.create_map(*[x for s, v in shift.items() for x in (F.lit(s), F.lit(v))])[F.col("source")]
+    copies = F.greatest(F.lit(0), F.least(cap, F.floor((F.col("bin") + moved) / F.lit(BINS)).cast("int")))
+    placed = rated.select("row", "k", "source", "n", "rate", "bin", copies.alias("copies"), cap.alias("cap"))
+    # lengths at which a document may come in, come once more, or go: at most MAX_LENGTH per source
+    counted = placed.where(F.col("n").between(1, MAX_LENGTH)).groupBy("source", "n").agg(F.count_if(F.col("copies") < F.col("cap")).alias("more"), F.count_if(F.col("copies") > 0).alias("fewer")).collect()
+    reached = {r["source"]: r["t"] for r in placed.groupBy("source").agg(F.sum(F.col("n") * F.col("copies")).alias("t")).collect()}
+    changes = []
+    for s in shift:
+        own = sorted((r["n"], r["more"], r["fewer"]) for r in counted if r["source"] == s)
+        if own:
+            lengths, more, fewer = (np.array(x) for x in zip(*own))
+            change, _ = exchanges(lengths, more, fewer, float(plan.wanted[number[s]]) - float(reached[s]))
+            changes += [(s, n, c) for n, c in change.items()]
+    if changes:
+        table = F.broadcast(spark.createDataFrame(changes, "source string, n bigint, change int"))  # a few rows per source
+        open_ = placed.join(table, ["source", "n"]).where(F.when(F.col("change") > 0, F.col("copies") < F.col("cap")).otherwise(F.col("copies") > 0))
+        # only rows of the few lengths that change are ranked; the limit lets each task keep the first ones only
+        turn = F.row_number().over(Window.partitionBy("source", "n").orderBy(F.desc("bin"), "row"))
+        first = open_.withColumn("turn", turn).where(F.col("turn") <= 2 * ROUNDS).where(F.col("turn") <= F.abs("change"))
+        first = first.select("row", F.signum("change").cast("int").alias("step"))
+        placed = placed.join(F.broadcast(first), "row", "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0)))
+    return placed.select(F.col("k").cast(kind).alias(key), "source", F.col("n").alias("tokens"), "rate", "copies")
 
 
 def expand(mixed: DataFrame) -> DataFrame:
@@ -236,7 +324,8 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = mixed.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count_if(F.col("copies") > 0).alias("documents"), F.sum("copies").cast("bigint").alias("copies"), F.max("copies").alias("most_copies"), F.sum("tokens").alias("tokens_available")
     )
-    total = got.agg(F.sum("tokens").alias("total"))  # one row
     wanted = targets.select("source", "target_share", "max_repeats").where("source is not null").distinct()
-    joined = wanted.join(got, "source", "left").join(F.broadcast(total))
-    return joined.withColumn("share", F.round(F.coalesce(F.col("tokens"), F.lit(0)) / F.col("total"), 6)).drop("total")
+    joined = wanted.join(got, "source", "left")
+    # the total over at most MAX_SOURCES rows
+    total = F.sum(F.coalesce(F.col("tokens"), F.lit(0))).over(Window.partitionBy(F.lit(0)))
+    return joined.withColumn("share", F.round(F.coalesce(F.col("tokens"), F.lit(0)) / total, 6))
