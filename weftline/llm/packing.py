@@ -66,26 +66,24 @@ def _dominating(left: _Sizes, size: int, capacity: int) -> list[int] | None:
     if fitting == 1:
         return [best]
     if fitting == 2 and (len(few) < 3 or sum(few) > room):
-        # at most two more items fit
-        def second(first: int) -> int | None:
-            at = bisect_right(left.sizes, room - first) - 1
-            while at >= 0:
-                s = left.sizes[at]
-                if left.counts[s] - (s == size) - (s == first) > 0:
-                    return s
-                at -= 1
-            return None
-
+        # at most two more items fit: for every size, the largest partner that fits beside it
+        sizes = np.array(left.sizes[: bisect_right(left.sizes, room)], dtype=np.int64)
+        free = np.array([left.counts[s] for s in sizes.tolist()], dtype=np.int64) - (sizes == size)
+        own = np.arange(len(sizes))
+        partner = np.searchsorted(sizes, room - sizes, side="right") - 1
+        for _ in range(2):  # a size of which no other item is there stands back for the next smaller one
+            taken = np.where(partner >= 0, free[partner] - (partner == own), 1) <= 0
+            partner = partner - taken
+        paired = (free > 0) & (partner >= 0)
+        partner_size = np.where(paired, sizes[partner], 0)
         # the larger of the lesser partners over all feasible pairs
-        half = bisect_right(left.sizes, room // 2) - 1
-        least = 0
-        while half >= 0 and not least:
-            s = left.sizes[half]
-            if left.counts[s] - (s == size) > 0 and (partner := second(s)) is not None:
-                least = min(s, partner)
-            half -= 1
-        beside = second(best)
-        widest = max((s + p for s in left.sizes[: bisect_right(left.sizes, room)] if left.counts[s] - (s == size) > 0 and (p := second(s)) is not None), default=0)
+        halves = np.flatnonzero(paired & (sizes <= room // 2))
+        least = int(min(sizes[halves[-1]], partner_size[halves[-1]])) if len(halves) else 0
+        beside = int(partner_size[-1]) if paired[-1] and sizes[-1] == best else None
+        if sizes[-1] != best:  # the largest size is the item's own
+            at = int(np.searchsorted(sizes, best))
+            beside = int(partner_size[at]) if paired[at] else None
+        widest = int((sizes + partner_size)[paired].max(initial=0))
         if best >= widest:
             return [best]
         if beside is not None and beside >= least:
@@ -192,7 +190,7 @@ def pack(documents: DataFrame, profiles: DataFrame, key: str = "doc_id", tokens:
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn("size", F.least(F.col("n") - F.col("piece") * F.col("c"), F.col("c")))
     histogram = pieces.where("size > 0").groupBy("profile", "size").agg(F.count(F.lit(1)).alias("n"))
     counts: dict[str, dict[int, int]] = {}
-    for r in histogram.collect():  # at most capacity rows per profile
+    for r in histogram.collect():  # at most capacity rows per profile, and MAX_CAPACITY bounds that
         counts.setdefault(r["profile"], {})[r["size"]] = r["n"]
     places = spark.sparkContext.broadcast({p: _places(solve(counts.get(p, {}), c)) for p, c in kinds})
     # rank among pieces of equal size: within slices of bounded size, then by the slices' offsets
@@ -228,5 +226,5 @@ def fill_report(packed: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per profile: documents' pieces, tokens, containers, the least number possible by volume, and the share filled."""
     used = packed.groupBy("profile").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"), (F.max("container") + 1).alias("containers"))
     c = F.col("capacity_tokens")
-    joined = used.join(F.broadcast(profiles.select("profile", "capacity_tokens").distinct().limit(1000)), "profile")
+    joined = used.join(profiles.select("profile", "capacity_tokens").where("capacity_tokens > 0").distinct(), "profile")
     return joined.withColumn("least_containers", F.ceil(F.col("tokens") / c)).withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * c), 6))
