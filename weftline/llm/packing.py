@@ -25,12 +25,17 @@ class _Sizes:
     def __init__(self, counts: dict[int, int]):
         self.counts = {s: n for s, n in counts.items() if n > 0}
         self.sizes = sorted(self.counts)
+        # the same once more for steps over all sizes
+        self.size_array, self.count_array = np.array(self.sizes, dtype=np.int64), np.array([self.counts[s] for s in self.sizes], dtype=np.int64)
 
     def take(self, size: int, n: int) -> None:
         self.counts[size] -= n
+        at = bisect_right(self.sizes, size) - 1
+        self.count_array[at] -= n
         if not self.counts[size]:
             del self.counts[size]
-            self.sizes.pop(bisect_right(self.sizes, size) - 1)
+            self.sizes.pop(at)
+            self.size_array, self.count_array = np.delete(self.size_array, at), np.delete(self.count_array, at)
 
     def largest(self, room: int, without: int | None = None) -> int | None:
         """The largest size that fits; ``without``: one item of that size is already used."""
@@ -67,8 +72,9 @@ def _dominating(left: _Sizes, size: int, capacity: int) -> list[int] | None:
         return [best]
     if fitting == 2 and (len(few) < 3 or sum(few) > room):
         # at most two more items fit: for every size, the largest partner that fits beside it
-        sizes = np.array(left.sizes[: bisect_right(left.sizes, room)], dtype=np.int64)
-        free = np.array([left.counts[s] for s in sizes.tolist()], dtype=np.int64) - (sizes == size)
+        fits = bisect_right(left.sizes, room)
+        sizes = left.size_array[:fits]
+        free = left.count_array[:fits] - (sizes == size)
         own = np.arange(len(sizes))
         partner = np.searchsorted(sizes, room - sizes, side="right") - 1
         for _ in range(2):  # a size of which no other item is there stands back for the next smaller one
