@@ -54,3 +54,11 @@ def test_copies_of_one_page_are_no_norm(spark):
     rows += [(1000 + i, copied if i % 2 else copied.replace("\r\n", "\n").replace(",900", ",800")) for i in range(105)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {x.doc_id for x in spam.find(df).collect()} == {i for i, _ in rows if i >= 200}
+
+
+def test_links_are_hosts_of_any_name():
+    hits = {"visit shop.neverseen/x": 1, "WWW.A.B and www . deals . test": 2, "Hello.World": 0, "10.50kg": 0, "v1.2.3": 0, "It is late.": 0, "foo.com.": 1}
+    assert {t: len(spam.LINK.findall(t)) for t in hits} == hits
+    for long in ("a" * 200_000, "ab." * 60_000, "<" * 100_000, "{\\" * 50_000):
+        assert np.isfinite(spam.features(long)).all()
+    assert spam.features("<" + "x" * 500 + ">Stay here.") == spam.features("Stay here.")

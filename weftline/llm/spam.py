@@ -28,14 +28,16 @@ FUNCTION_WORDS = {
     "fr": "le la les un une des du de d l et ou mais si à au aux en dans sur pour par avec est sont était être suis es ai as a avons avez ont ne n pas plus jamais ce c cette ces qui que qu quoi pourquoi où quand comment il elle ils elles nous vous tu je j me m te t se s mon ma ton ta son sa leur on y ici là rien personne tout très avant après chez sous".split(),
     "es": "el la los las un una unos unas y o pero si de del a al en con por para sin sobre es son era fue ser estar está están he has ha hemos han no ni nunca nada nadie lo le les me te se nos mi tu su que qué quién por qué dónde cuándo cómo ya más muy aquí ahí allí este esta eso esa yo él ella ellos hay bajo antes después todo".split(),
 }
-ALL_WORDS = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
+#: Each function word with the places of its languages.
+LANGUAGES_OF = {w: tuple(i for i, own in enumerate(FUNCTION_WORDS.values()) if w in own) for words in FUNCTION_WORDS.values() for w in words}
 LINE = re.compile(r"\r\n|\r|\n")
-MARKUP = re.compile(r"<[^<>]{1,40}>|\{\\[^{}]{0,40}\}")
+MARKUP = re.compile(r"<[^<>]+>|\{\\[^{}]*\}")
 TIME = re.compile(r"\d+:\d+.*-->|-->\s*\d+:\d+")
 HEADER = re.compile(r"^(?:WEBVTT|NOTE|STYLE|REGION|Kind:|Language:|X-TIMESTAMP)\b")
+# an address with its scheme, a spaced-out one, or a host: names in lower case joined by points, the last of letters only
 LINK = re.compile(
-    r"(?:h[tx]{2}ps?://|www\.)\S+|\bwww\s+\.\s+[\w-]+(?:\s+\.\s+[\w-]+)*(?:/\S*)?"
-    r"|\b[\w-]{2,}(?:\.[\w-]{2,})*\.(?:com|net|org|info|biz|shop|online|site|xyz|io|tv|example|test|invalid|de|fr|es|uk|eu|ru|cn)\b(?:[/?]\S*)?", re.I)
+    r"(?:[Hh][TtXx]{2}[Pp][Ss]?://|[Ww]{3}\.)\S+|\b[Ww]{3}\s+\.\s+[\w-]+(?:\s+\.\s+[\w-]+)*(?:/\S*)?"
+    r"|(?<![\w.-])(?!\d+\.)[a-z0-9-]{2,}+(?:\.[a-z0-9-]{2,}+)++(?<=[a-z][a-z])(?![\w-])(?:[/?]\S*)?")
 ENCLOSED = re.compile(r"[\[(*]([^\[\]()*]*)[\])*]")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 SIGN = re.compile(r"[#$%&+/;<=>@\\^`|~\[\]{}]|\d|_")
@@ -45,13 +47,17 @@ JOINT = re.compile(r"[,|;/•]|\s[-–]\s|[\[\]#_]")
 FLOOR = (0.35, 0.25, 0.35, 0.35, 0.35, 0.55)
 
 
+MISREAD = re.compile("[\xc2-\xf4\u0192\u201a-\u201e]")
+_BYTES = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
 def _repaired(line: str) -> str:
     """UTF-8 that was read as a Western single-byte encoding, once or twice, read rightly."""
     for _ in range(2):
-        if not re.search("[\xc2-\xf4\u0192\u201a-\u201e]", line):
+        if not MISREAD.search(line):
             break
         try:
-            line = b"".join(c.encode("cp1252", "ignore") or c.encode("latin-1") for c in line).decode("utf-8")
+            line = line.translate(_BYTES).encode("latin-1").decode("utf-8")
         except UnicodeError:
             break
     return line
@@ -60,44 +66,54 @@ def _repaired(line: str) -> str:
 def text_lines(text: str) -> list[str]:
     """The text lines of a subtitle file: without cue numbers, time lines, headers and blank lines."""
     out = []
-    for raw in LINE.split(text):
-        line = raw.strip().replace("\u00ef\u00bb\u00bf", "").strip("\ufeff\u200b \t")
-        if not line or line.isdigit() or TIME.search(line) or HEADER.match(line):
+    for raw in LINE.split(text.replace("\u00ef\u00bb\u00bf", "")):
+        line = raw.strip("\ufeff\u200b \t").strip()
+        if not line or line.isdigit() or ("-->" in line and TIME.search(line)) or (line[0] in "WNSRKLX" and HEADER.match(line)):
             continue
         out.append(_repaired(line) if not line.isascii() else line)
     return out
 
 
-def features(line: str) -> tuple[float, ...]:
-    """Six numbers that grow the less a line is like a sentence; near 0 for short or ordinary lines."""
+def described(line: str) -> tuple[tuple[float, ...], tuple[int, ...]]:
+    """Six numbers that grow the less a line is like a sentence, near 0 for short or ordinary lines; and its function words per language."""
     plain = (MARKUP.sub(" ", line) if "<" in line or "{" in line else line).strip()
-    if m := ENCLOSED.fullmatch(plain):
+    if plain[:1] in "[(*" and (m := ENCLOSED.fullmatch(plain)):
         plain = m[1]  # a sound description
     links, rest = 0, plain
     if "." in plain or "://" in plain:
         rest, links = LINK.subn(" ", plain)
-    words = [w.lower() for w in WORD.findall(rest)]
+    words = WORD.findall(rest.lower())
     n = len(words)
-    density = len(SIGN.findall(rest)) / math.sqrt(max(len(rest.replace(" ", "")), 1))
+    density = len(SIGN.findall(rest)) / math.sqrt(max(len(rest) - rest.count(" "), 1))
     joints = len(JOINT.findall(rest)) / math.sqrt(n + 1)
-    content = [w for w in words if w not in ALL_WORDS and w.split("'")[0].split("’")[0] not in ALL_WORDS]
-    own, k = n - len(content), len(content)
-    counts = Counter(content)
-    repetition = (k - len(counts)) / math.sqrt(n) if n > 2 else 0.0
-    evenness = (math.log2(k) + sum(c / k * math.log2(c / k) for c in counts.values())) * math.sqrt(n) / 2 if k > 2 else 0.0
-    lacking = (0.35 * n - own) / math.sqrt(n * 0.35 * 0.65) if n > 1 else 0.0
-    return density, math.log1p(3.0 * links), joints, repetition, evenness, max(-1.5, lacking)
-
-
-def language_of(lines: list[str]) -> str:
-    """The language whose function words are most frequent in the lines; ``und`` where there are none."""
-    counts = Counter(w.lower() for line in lines for w in WORD.findall(line))
-    best, most = "und", 0
-    for lang, own in FUNCTION_WORDS.items():
-        n = sum(counts[w] for w in own)
-        if n > most:
-            best, most = lang, n
-    return best
+    content, hits = [], [0] * len(FUNCTION_WORDS)
+    for w in words:
+        langs = LANGUAGES_OF.get(w)
+        if langs is None and ("'" in w or "’" in w):
+            langs = LANGUAGES_OF.get(w.split("'")[0].split("’")[0])
+        if langs is None:
+            content.append(w)
+        else:
+            for i in langs:
+                hits[i] += 1
+    k = len(content)
+    distinct = len(set(content))
+    repetition = (k - distinct) / math.sqrt(n) if n > 2 else 0.0
+    evenness = 0.0  # as long as no word is repeated
+    if k > 2 and distinct < k:
+        evenness = (math.log2(k) + sum(c / k * math.log2(c / k) for c in Counter(content).values())) * math.sqrt(n) / 2
+    lacking = (0.35 * n - (n - k)) / math.sqrt(n * 0.35 * 0.65) if n > 1 else 0.0
+    return (density, math.log1p(3.0 * links), joints, repetition, evenness, max(-1.5, lacking)), tuple(hits)
+
+
+def features(line: str) -> tuple[float, ...]:
+    return described(line)[0]
+
+
+def language_of(hits: list[int]) -> str:
+    """The language with the most function words; ``und`` where there are none."""
+    most = max(hits, default=0)
+    return list(FUNCTION_WORDS)[hits.index(most)] if most else "und"
 
 
 GRID = np.linspace(-2.0, 14.0, 321)
@@ -115,7 +131,7 @@ def describe(documents: DataFrame, key: str, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[float, ...]] = {}
+        known: dict[str, tuple] = {}
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
@@ -124,12 +140,14 @@ def describe(documents: DataFrame, key: str, text: str) -> DataFrame:
                     lines = text_lines(value)
                     if len(known) > CACHE:
                         known.clear()
-                    own = []
+                    own: list[float] = []
+                    hits: list[tuple[int, ...]] = []
                     for line in lines:
                         if (f := known.get(line)) is None:
-                            f = known[line] = features(line)
-                        own.extend(f)
-                    langs.append(language_of(lines))
+                            f = known[line] = described(line)
+                        own.extend(f[0])
+                        hits.append(f[1])
+                    langs.append(language_of([sum(x) for x in zip(*hits)]))
                     rows.append(own)
                     pages.append(xxhash.xxh64_intdigest("\n".join(lines).encode("utf-8", "surrogatepass")) - 2**63)
                 yield pd.DataFrame({"k": part["k"].to_numpy(), "lang": langs, "lines": rows, "page": pages})
@@ -237,8 +255,8 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", cutoff:
     of it. Null texts are left out; a text without text lines has 0 of 0. Repeated rows and null keys are scored
     row by row; whole texts of any length are read. Extra columns are not read.
     """
-    described = cut(describe(documents, key, text))
-    models = fit(described)
+    lines = cut(describe(documents, key, text))
+    models = fit(lines)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -251,7 +269,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", cutoff:
             yield pd.DataFrame({"k": pdf["k"], "lang": pdf["lang"], "lines": total, "spam_lines": flagged})
 
     kind = documents.schema[key].dataType.simpleString()
-    scored = described.mapInPandas(run, "k string, lang string, lines int, spam_lines int")
+    scored = lines.mapInPandas(run, "k string, lang string, lines int, spam_lines int")
     return scored.select(F.col("k").cast(kind).alias(key), "lang", "lines", "spam_lines")
 
 
