@@ -23,6 +23,16 @@ def test_cascade_runs_down_the_graph_and_ends_on_cycles(spark):
     assert sum(x.orphans for x in report) == 4 and all(x.day is None for x in report)
 
 
+def test_rows_that_refer_twice_and_rows_without_a_key(spark):
+    t = lambda rows: spark.createDataFrame(rows, "row bigint, id string, x string, y string")
+    tables = {"a": t([(1, "a1", "gone", None), (2, "a2", None, None)]), "b": t([(1, None, "a1", "gone"), (2, None, "a1", "gone"), (3, "b3", "a2", "gone"), (4, "b4", "a1", "a1")])}
+    edges = [Edge("a", "x", "a", F.col("x"), F.col("row")), Edge("b", "x", "a", F.col("x"), F.col("row")), Edge("b", "y", "a", F.col("y"), F.col("row"))]
+    got = orphans.cascade(tables, edges, {"a": Parent(F.col("id"))})
+    assert sorted((x.table_name, x.row_key, x.field, x.inherited) for x in got.collect()) == [
+        ("a", "1", "x", False), ("b", "1", "x", True), ("b", "1", "y", False), ("b", "2", "x", True), ("b", "2", "y", False), ("b", "3", "y", False), ("b", "4", "x", True), ("b", "4", "y", True)
+    ]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id string, up string")
     got = orphans.cascade({"a": empty, "b": empty}, [Edge("b", "up", "a", F.col("up"), F.col("id"))], {"a": Parent(F.col("id"))})

@@ -21,7 +21,10 @@ BLANKS = " \t\n"  # fixed: the white space around a reference that does not coun
 
 @dataclass(frozen=True)
 class Edge:
-    """child.field refers to parent.key, at the moment ``at`` (a timestamp column, or None if time plays no part)."""
+    """child.field refers to parent.key, at the moment ``at`` (epoch seconds, or None if time plays no part).
+
+    row tells the child's rows apart; it need not be the key they are referred to by.
+    """
 
     child: str
     field: str
@@ -55,11 +58,15 @@ def lifetimes(rows: DataFrame, parent: Parent) -> DataFrame:
     )
 
 
-def references(rows: DataFrame, edge: Edge) -> DataFrame:
-    """(table_name, row_key, field, ref, at): the non-blank references along one edge, blanks around them removed."""
+def references(rows: DataFrame, edge: Edge, own_key: Column | None = None) -> DataFrame:
+    """(table_name, row_key, own_key, field, parent, ref, at): the non-blank references along one edge, blanks around them removed.
+
+    own_key is the key other rows refer to this one by, where there is any.
+    """
     at = F.lit(None).cast("bigint") if edge.at is None else edge.at
+    own = F.lit(None).cast("string") if own_key is None else own_key.cast("string")
     return rows.select(
-        F.lit(edge.child).alias("table_name"), edge.row.cast("string").alias("row_key"), F.lit(edge.field).alias("field"),
+        F.lit(edge.child).alias("table_name"), edge.row.cast("string").alias("row_key"), own.alias("own_key"), F.lit(edge.field).alias("field"), F.lit(edge.parent).alias("parent"),
         F.btrim(edge.ref, F.lit(BLANKS)).alias("ref"), at.cast("bigint").alias("at"),
     ).where(F.col("ref").isNotNull() & (F.col("ref") != ""))
 
@@ -80,36 +87,34 @@ def direct(refs: DataFrame, lives: DataFrame) -> DataFrame:
 def cascade(tables: Mapping[str, DataFrame], edges: list[Edge], parents: Mapping[str, Parent]) -> DataFrame:
     """(table_name, row_key, field, ref, at, orphan_kind, inherited, depth) of every orphan reference.
 
-    Direct orphans have depth 0. A row that refers to an orphaned row inherits its state (orphan_kind
-    ``inherited``) unless the same reference is a direct orphan itself; a row found once is not followed again.
-    Null and blank references are none. Equal rows of a child table are one case. Empty tables are allowed.
+    Direct orphans have depth 0. A reference to an orphaned row inherits its state (orphan_kind ``inherited``) unless it
+    is a direct orphan itself; every row is followed once, through whatever fields it is orphaned. Null and blank references
+    are none. References equal in row, field, target and moment are one case, so give every row a key of its own.
+    A key is orphaned if any row that carries it is. Empty tables are allowed.
     """
-    refs = [references(tables[e.child], e) for e in edges]
-    lives = {name: lifetimes(tables[name], p) for name, p in parents.items()}
-    found = _union([direct(r, lives[e.parent]) for r, e in zip(refs, edges)]).distinct()
+    # all references once, in narrow columns; each round reads only those to the tables it comes from
+    refs = cut(_union([references(tables[e.child], e, parents[e.child].key if e.child in parents else None) for e in edges]).distinct())
+    found = _union([direct(refs.where(F.col("parent") == name), lifetimes(tables[name], p)) for name, p in parents.items()])
     found = cut(found.withColumn("inherited", F.lit(False)).withColumn("depth", F.lit(0)))
-    rounds, seen, frontier, depth = [found], found.select("table_name", "row_key").distinct(), found, 0
-    followed = {e.parent for e in edges}
+    rounds, depth = [found], 0
+    followed = {e.parent for e in edges} & {e.child for e in edges}
+    seen: DataFrame | None = None
+    same = ["table_name", "row_key", "field", "ref"]
     while True:
         depth += 1
-        keys = frontier.where(F.col("table_name").isin(*followed)).select("table_name", "row_key").distinct()
-        if keys.isEmpty():
-            break
-        children = []
-        for r, e in zip(refs, edges):
-            lost = keys.where(F.col("table_name") == e.parent).select(F.col("row_key").alias("lost_key"))
-            children.append(r.join(lost, F.col("ref") == F.col("lost_key"), "left_semi"))
-        new = _union(children).distinct().join(seen, ["table_name", "row_key"], "left_anti")
-        new = cut(new.select("table_name", "row_key", "field", "ref", "at", F.lit("inherited").alias("orphan_kind"), F.lit(True).alias("inherited"), F.lit(depth).alias("depth")))
-        if new.isEmpty():
+        lost = rounds[-1].where(F.col("table_name").isin(*followed) & F.col("own_key").isNotNull()).select(F.col("table_name").alias("parent"), F.col("own_key").alias("ref")).distinct()
+        lost = lost if seen is None else lost.join(seen, ["parent", "ref"], "left_anti")
+        lost = cut(lost)
+        reached = [r["parent"] for r in lost.select("parent").distinct().collect()]  # names of tables
+        if not reached:
             break
-        rounds.append(new)
-        seen = cut(seen.unionByName(new.select("table_name", "row_key")).distinct())
-        frontier = new
-    return _union(rounds)
+        seen = lost if seen is None else seen.unionByName(lost)
+        new = refs.where(F.col("parent").isin(*reached)).join(lost, ["parent", "ref"], "left_semi").join(found.select(*same), same, "left_anti")
+        rounds.append(cut(new.select(*refs.columns, F.lit("inherited").alias("orphan_kind"), F.lit(True).alias("inherited"), F.lit(depth).alias("depth"))))
+    return _union(rounds).drop("own_key", "parent")
 
 
 def report(orphans: DataFrame) -> DataFrame:
     """Counts per table, field, UTC day of the reference and kind; the day is null where no moment is known."""
-    day = F.to_date(F.timestamp_seconds(F.col("at")))
+    day = F.date_from_unix_date(F.floor(F.col("at") / 86400).cast("int"))
     return orphans.groupBy("table_name", "field", day.alias("day"), "orphan_kind", "inherited").agg(F.count(F.lit(1)).alias("orphans"))

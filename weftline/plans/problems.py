@@ -93,7 +93,7 @@ def graph() -> list[orphans.Edge]:
     return [
         orphans.Edge("batch_jobs", "input_file_id", "file_objects", F.col("spec.input_file_id"), F.col("id"), F.col("spec.created_at")),
         orphans.Edge("batch_jobs", "output_file_id", "file_objects", F.col("status.output_file_id"), F.col("id"), F.col("status.finalizing_at")),
-        orphans.Edge("requests", "job_id", "batch_jobs", F.col("job_id"), F.col("request_id"), F.unix_timestamp("sent_at")),
+        orphans.Edge("requests", "job_id", "batch_jobs", F.col("job_id"), F.col("row_seq"), F.unix_timestamp("sent_at")),
         orphans.Edge("job_queue", "id", "batch_jobs", F.col("id"), F.col("enqueue_seq"), F.unix_timestamp("delivered_at")),
         orphans.Edge("raw_lines", "file_id", "file_objects", F.col("file_id"), F.concat_ws(":", "file_id", "line"), F.unix_timestamp("loaded_at")),
         orphans.Edge("inference_requests", "request_id", "requests", F.col("request_id"), F.col("request_id"), F.unix_timestamp("created_at")),
@@ -207,6 +207,28 @@ WITH {_REFS}
 SELECT DISTINCT job_id, ref_field, kind AS orphan_kind FROM (
   SELECT r.job_id, r.ref_field, CASE WHEN l.id IS NULL THEN 'missing' WHEN l.deleted <= r.at THEN 'deleted' WHEN l.arrived > r.at THEN 'late' END AS kind
   FROM refs r LEFT JOIN lives l ON r.ref = l.id WHERE r.ref <> '') WHERE kind IS NOT NULL""",
+    "p3_report": r"""
+WITH RECURSIVE every AS (
+  SELECT 'batch_jobs' AS t, id AS row_key, id AS own_key, 'input_file_id' AS field, 'file_objects' AS parent, spec.input_file_id AS ref, spec.created_at AS moment FROM batch_jobs
+  UNION ALL SELECT 'batch_jobs', id, id, 'output_file_id', 'file_objects', status.output_file_id, status.finalizing_at FROM batch_jobs
+  UNION ALL SELECT 'requests', CAST(row_seq AS VARCHAR), request_id, 'job_id', 'batch_jobs', job_id, epoch_us(sent_at) // 1000000 FROM requests
+  UNION ALL SELECT 'job_queue', CAST(enqueue_seq AS VARCHAR), NULL, 'id', 'batch_jobs', id, epoch_us(delivered_at) // 1000000 FROM job_queue
+  UNION ALL SELECT 'raw_lines', file_id || ':' || line, NULL, 'file_id', 'file_objects', file_id, epoch_us(loaded_at) // 1000000 FROM raw_lines
+  UNION ALL SELECT 'inference_requests', request_id, request_id, 'request_id', 'requests', request_id, epoch_us(created_at) // 1000000 FROM inference_requests
+  UNION ALL SELECT 'inference_responses', request_id, NULL, 'request_id', 'inference_requests', request_id, epoch_us(received_at) // 1000000 FROM inference_responses),
+refs AS (SELECT DISTINCT t, row_key, own_key, field, parent, trim(ref, E' \t\n') AS ref, moment FROM every WHERE trim(ref, E' \t\n') <> ''),
+lives AS (SELECT 'file_objects' AS parent, id, min(arrived_at) AS arrived, min(deleted_at) AS deleted FROM file_objects WHERE id IS NOT NULL GROUP BY id
+  UNION ALL SELECT DISTINCT 'batch_jobs', id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM batch_jobs WHERE id IS NOT NULL
+  UNION ALL SELECT DISTINCT 'requests', request_id, NULL, NULL FROM requests WHERE request_id IS NOT NULL
+  UNION ALL SELECT DISTINCT 'inference_requests', request_id, NULL, NULL FROM inference_requests WHERE request_id IS NOT NULL),
+direct AS (SELECT * FROM (SELECT r.*, CASE WHEN l.id IS NULL THEN 'missing' WHEN l.deleted <= r.moment THEN 'deleted' WHEN l.arrived > r.moment THEN 'late' END AS kind FROM refs r LEFT JOIN lives l ON r.parent = l.parent AND r.ref = l.id) WHERE kind IS NOT NULL),
+lost(parent, ref) AS (
+  SELECT t, own_key FROM direct WHERE own_key IS NOT NULL
+  UNION SELECT r.t, r.own_key FROM refs r JOIN lost ON r.parent = lost.parent AND r.ref = lost.ref WHERE r.own_key IS NOT NULL),
+found AS (
+  SELECT t, field, moment, kind, false AS inherited FROM direct
+  UNION ALL SELECT t, field, moment, 'inherited', true FROM refs r SEMI JOIN lost ON r.parent = lost.parent AND r.ref = lost.ref WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.t = r.t AND d.row_key = r.row_key AND d.field = r.field AND d.ref = r.ref))
+SELECT t AS table_name, field, DATE '1970-01-01' + CAST(floor(moment / 86400) AS INTEGER) AS day, kind AS orphan_kind, inherited, count(*) AS orphans FROM found GROUP BY ALL""",
     "p5_found": f"""
 SELECT b.id AS job_id FROM batch_jobs b LEFT JOIN ({_COUNTED}) c ON b.id = c.job_id
 WHERE b.result_metadata.total IS NOT NULL AND b.result_metadata.total <> coalesce(c.messages, 0)""",
