@@ -82,6 +82,37 @@ def identifier(given: Column, new: Column) -> Column:
     return F.coalesce(F.nullif(given, F.lit("")), new)
 
 
+def contains(text: Column, part: Column) -> Column:
+    """Whether the part stands in the text, compared exactly; the empty part stands in every text."""
+    return F.contains(text, part)
+
+
+def utc_text(seconds: Column) -> Column:
+    """Epoch seconds as ``2025-03-01T09:30:00Z``, whatever the session's time zone."""
+    day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")
+    rest = F.pmod(seconds, F.lit(86400)).cast("bigint")
+    part = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    return F.concat(day, F.lit("T"), part(rest / 3600), F.lit(":"), part(F.pmod(rest, F.lit(3600)) / 60), F.lit(":"), part(F.pmod(rest, F.lit(60))), F.lit("Z"))
+
+
+def without_item(items: Column, at: Column) -> Column:
+    """The array without the item at the 0-based place; a place outside changes nothing."""
+    inside = (at >= 0) & (at < F.size(items))
+    return F.when(inside, F.concat(F.slice(items, F.lit(1), at), F.slice(items, at + 2, F.size(items)))).otherwise(items)
+
+
+def with_item(items: Column, item: Column) -> Column:
+    """The array with one more item at its end; of a null array the item alone."""
+    return F.array_append(F.coalesce(items, F.array().cast("array<string>")), item)
+
+
+def name_uuid(text: Column) -> Column:
+    """A UUID of version 3 shape made from the text, so that the same text gives the same one."""
+    h = F.md5(text)
+    variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1)
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def join_path(folder: Column, file: Column) -> Column:
     """folder/file, or nothing where there is no file."""
     return F.when(file != "", F.concat_ws("/", folder, file)).otherwise("")

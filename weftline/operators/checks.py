@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +78,15 @@ def page_start(text: Column) -> Column:
     return F.when(_blank(text), F.lit(0).cast("bigint")).when(n >= 0, n)
 
 
-def line_error(request_id: Column, model: Column, end_point: Column, body: Column) -> Column:
-    """The first rule a request line breaks."""
+def line_error(request_id: Column, model: Column, end_point: Column, body: Column, end_points: Sequence[str] = END_POINTS, models: Sequence[str] | None = None) -> Column:
+    """The first rule a request line breaks; end points and, where given, models must be on the list of allowed ones."""
+    listed = F.lit(False) if models is None else ~model.isin(*models)
     return (
         F.when(_blank(request_id), "request_id is required")
         .when(_blank(end_point), "end_point is required")
-        .when(~end_point.isin(*END_POINTS), F.concat(F.lit("invalid end_point: "), end_point))
+        .when(~end_point.isin(*end_points), F.concat(F.lit("invalid end_point: "), end_point))
         .when(_blank(model), "model is required")
+        .when(listed, F.concat(F.lit("model is not allowed: "), model))
         .when(body.isNull(), "request_body is required")
     )
 

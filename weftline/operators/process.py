@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +14,9 @@ from pyspark.sql import functions as F
 
 from weftline.operators.checks import RETRYABLE
 from weftline.operators.running import running_sum
+from weftline.session import cut, fresh
 
+_FREE = nullcontext()
 RESULT = "request_id string, job_id string, response string, category string, message string, attempts int"
 
 
@@ -33,19 +38,24 @@ def with_defaults(line: Column, model: Column, api: Column, everywhere: Column)
     return F.coalesce(line, model, api, everywhere)
 
 
-def run_lines(lines: DataFrame, client: Callable[[], Callable[[str, str, str], str]], parallel: int, retries: int = 2, wait: float = 0.0) -> DataFrame:
+def run_lines(lines: DataFrame, client: Callable[[], Callable[[str, str, str], str]], parallel: int, retries: int = 2, wait: float = 0.0, per_model: Mapping[str, int] | None = None) -> DataFrame:
     """Every line (request_id, job_id, model, request_body) through the client; failures become error rows.
 
-    ``client`` is called once per partition and gives the function that answers (request_id, model, body). At most
-    ``parallel`` lines run at a time. Failures of a retryable category are tried again; any other exception is an
-    error of that line alone, of category UNKNOWN.
+    ``client`` is called once per task and gives the function that answers (request_id, model, body). Each task keeps
+    up to ``parallel`` calls in flight, and of a model named in ``per_model`` no more than that many; how many tasks
+    there are is left to the plan, so the number of rows sets no limit and no key gathers in one task. Failures of a
+    retryable category are tried again; any other exception is an error of that line alone, of category UNKNOWN. Rows
+    keep their order within a task.
     """
+    limits = dict(per_model or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = client()
-        for pdf in batches:
-            rows = []
-            for request_id, job_id, model, body in zip(pdf["request_id"], pdf["job_id"], pdf["model"], pdf["request_body"]):
+        slots = {m: threading.Semaphore(n) for m, n in limits.items()}
+
+        def one(line: tuple) -> tuple:
+            request_id, job_id, model, body = line
+            with slots.get(model, _FREE):
                 for attempt in range(1, retries + 2):
                     response = category = message = None
                     try:
@@ -58,10 +68,15 @@ def run_lines(lines: DataFrame, client: Callable[[], Callable[[str, str, str], s
                         break
                     if attempt <= retries and wait:
                         time.sleep(wait)
-                rows.append((request_id, job_id, response, category, message, attempt))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+            return request_id, job_id, response, category, message, attempt
+
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            for pdf in batches:
+                lines_here = zip(pdf["request_id"], pdf["job_id"], pdf["model"], pdf["request_body"])
+                rows = list(map(one, lines_here) if parallel <= 1 else pool.map(one, lines_here))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return lines.select("request_id", "job_id", "model", "request_body").repartition(parallel).mapInPandas(run, RESULT)
+    return lines.select("request_id", "job_id", "model", "request_body").mapInPandas(run, RESULT)
 
 
 def split_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,6 +84,26 @@ def split_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.where(F.col("category").isNull()).drop("category", "message"), results.where(F.col("category").isNotNull()).drop("response")
 
 
+def write_results(results: DataFrame, location: str, rows_per_file: int = 50_000) -> tuple[str, str]:
+    """Per job a folder of output lines and one of error lines, as line-wise JSON; gives both locations.
+
+    The folders are ``<location>/output/job_id=...`` and ``<location>/errors/job_id=...``. The results are written down
+    once and read twice. Rows of a job are spread over as many tasks as its size asks for, so that a job of a third of
+    all rows gets many files, and a small one gets one; no file holds more than ``rows_per_file``. Rows without a job
+    go to the folder of the null job. Files of another run are replaced.
+    """
+    spread, n = fresh(results, "spread", "n")
+    held = cut(results)
+    sizes = held.groupBy(F.col("job_id").alias(spread)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > rows_per_file)
+    slices = F.coalesce(F.ceil(F.col(n) / F.lit(rows_per_file)), F.lit(1))
+    placed = held.join(sizes, F.col("job_id") == F.col(spread), "left").withColumn(n, F.pmod(F.xxhash64("request_id"), slices)).drop(spread)
+    places = (f"{location}/output", f"{location}/errors")
+    for part, place in zip(split_results(placed), places):
+        own = part.repartition("job_id", n).drop(n)
+        own.write.mode("overwrite").partitionBy("job_id").option("maxRecordsPerFile", rows_per_file).json(place)
+    return places
+
+
 def answers(requests: DataFrame, responses: DataFrame, on: list[str]) -> DataFrame:
     """Every request with its response, or null."""
     return requests.join(responses, on, "left")
@@ -85,14 +120,15 @@ def progress(total: Column, completed: Column, failed: Column) -> Column:
 
 
 def error_list(errors: DataFrame, job: str = "job_id", span: int = 1000) -> DataFrame:
-    """(job, chunk, errors): per job its errors in order of their lines, in chunks of ``span`` lines.
+    """(job, chunk, errors): per job its errors in order of their lines, in chunks of at most ``span`` errors.
 
-    Chunk 0 holds the lines up to span - 1, and so on, so that no list grows with the job. Errors without a line
-    are in chunk -1.
+    Chunks follow the errors' rank in their job, counted from 0, so that neither a large job, nor errors without a line,
+    nor a line reported over and over gathers in one list. Errors without a line come first.
     """
-    chunk = F.coalesce(F.floor(F.col("line") / F.lit(span)).cast("bigint"), F.lit(-1).cast("bigint")).alias("chunk")
-    listed = F.array_sort(F.collect_list(F.struct("line", "code", "message", "param"))).alias("errors")
-    return errors.groupBy(job, chunk).agg(listed)
+    (rank, one) = fresh(errors, "rank", "one")
+    ranked = running_sum(errors.withColumn(one, F.lit(1)), one, ["line", "code", "message", "param"], [job], rank, inclusive=False)
+    chunk = F.floor(F.col(rank) / F.lit(span)).cast("bigint").alias("chunk")
+    return ranked.groupBy(job, chunk).agg(F.array_sort(F.collect_list(F.struct("line", "code", "message", "param"))).alias("errors"))
 
 
 def remaining(lines: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
@@ -129,24 +165,61 @@ def usage(responses: DataFrame, response: str = "response") -> DataFrame:
     )
 
 
-def grouped(lines: DataFrame, n: int, *by: str) -> DataFrame:
-    """Lines of one model and endpoint next to each other, for servers that gain from it."""
-    return lines.repartition(n, *by).sortWithinPartitions(*by)
-
-
-def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, most: int = 10_000) -> DataFrame:
-    """(key, label) of the nearest centroid by squared distance, on a tie the least label.
+def grouped(lines: DataFrame, *by: str, rows: int = 100_000) -> DataFrame:
+    """Lines of one model and endpoint next to each other, for servers that gain from it.
 
-    The centroids are a small set, refused beyond ``most``; every vector meets all of them inside one row.
+    A group of more than ``rows`` lines is cut into stretches of about that many, each in one task; small groups share tasks.
     """
-    n = centroids.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} centroids")
-    listed = centroids.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col(vector).alias("v")))).alias("centroids"))
-    both = vectors.select(key, F.col(vector).alias("v")).join(F.broadcast(listed))
+    (n, part) = fresh(lines, "n", "part")
+    names = {c: f"{n}_{i}" for i, c in enumerate(by)}
+    large = lines.groupBy(*[F.col(c).alias(x) for c, x in names.items()]).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > rows)
+    match = None
+    for c, x in names.items():
+        same = F.col(c).eqNullSafe(F.col(x))
+        match = same if match is None else match & same
+    stretches = F.coalesce(F.ceil(F.col(n) / F.lit(rows)), F.lit(1))
+    cut_up = lines.join(large, match, "left").withColumn(part, F.floor(F.rand(7) * stretches).cast("int")).drop(n, *names.values())
+    return cut_up.repartition(*by, part).sortWithinPartitions(*by, part).drop(part)
+
+
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, block: int = 1_000) -> DataFrame:
+    """(key, label, distance) of the nearest centroid by squared distance, on a tie the least label.
+
+    The centroids are cut into blocks of at most ``block``, each held as one matrix; a batch of vectors meets block after
+    block, so any number of centroids is allowed that the workers can hold. Null vectors and null centroids, and those of
+    another length, meet nothing; a vector that meets no centroid gives no row.
+    """
+    import numpy as np
 
-    def distance(c: Column) -> Column:
-        return F.aggregate(F.zip_with(F.col("v"), c["v"], lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    rows = centroids.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).orderBy("label").collect()
+    by_width: dict[int, list] = {}
+    for r in rows:
+        by_width.setdefault(len(r["v"]), []).append(r)
+    blocks = {w: [([x["label"] for x in own[i : i + block]], np.array([x["v"] for x in own[i : i + block]], dtype=np.float64)) for i in range(0, len(own), block)] for w, own in by_width.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast(blocks)
+    schema = f"`{key}` {vectors.schema[key].dataType.simpleString()}, `{label}` {centroids.schema[label].dataType.simpleString()}, distance double"
 
-    near = F.array_min(F.transform("centroids", lambda c: F.struct(distance(c).alias("d"), c["label"].alias("label"))))
-    return both.select(key, near["label"].alias(label), F.round(near["d"], 6).alias("distance"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys, labels, distances = [], [], []
+            widths = pdf["v"].map(len)
+            for width, own in shared.value.items():
+                part = pdf[widths == width]
+                if not len(part):
+                    continue
+                x = np.stack(part["v"].to_numpy())
+                best, at = np.full(len(x), np.inf), np.zeros(len(x), dtype=object)
+                for names, c in own:
+                    d = np.stack([np.square(x - row).sum(1) for row in c], 1)
+                    near = d.argmin(1)
+                    value = d[np.arange(len(x)), near]
+                    # blocks go up in labels, so only a smaller distance wins
+                    less = value < best
+                    best, at = np.where(less, value, best), np.where(less, np.array(names, dtype=object)[near], at)
+                keys += part["k"].tolist()
+                labels += at.tolist()
+                distances += np.round(best, 6).tolist()
+            yield pd.DataFrame({key: keys, label: labels, "distance": distances})
+
+    read = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    return read.mapInPandas(run, schema)

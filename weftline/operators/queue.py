@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import cut, fresh
 
 
+SMALL = 100_000  # taken entries that are broadcast; more of them are joined
+
+
 def order(slo: str = "slo", seq: str = "enqueue_seq") -> list[Column]:
     return [F.col(slo).asc_nulls_last(), F.col(seq).asc()]
 
@@ -36,10 +41,23 @@ def remove_first(queue: DataFrame, ids: DataFrame, key: str = "id", seq: str = "
     return queue.join(first.select(seq), seq, "left_anti"), ids.select(key).distinct().join(queue.select(key), key, "left_anti")
 
 
-def dequeue(queue: DataFrame, k: int, seq: str = "enqueue_seq") -> tuple[DataFrame, DataFrame]:
-    """(the k entries of nearest deadline, the rest); told apart by entry number, as an id may be queued twice."""
-    taken = queue.orderBy(*order(seq=seq)).limit(k)
-    return taken, queue.join(F.broadcast(taken.select(seq)), seq, "left_anti")
+def dequeue(queue: DataFrame, k: int, seq: str = "enqueue_seq", by: Sequence[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the k first entries, the rest); told apart by entry number, as an id may be queued twice.
+
+    The order is by deadline, or the caller's own ``by``, with the entry number last so that it is a total one.
+    """
+    taken = queue.orderBy(*(order(seq=seq) if by is None else [*by, F.col(seq).asc()])).limit(k)
+    gone = taken.select(seq)
+    return taken, queue.join(F.broadcast(gone) if k <= SMALL else gone, seq, "left_anti")
+
+
+def put_back(queue: DataFrame, taken: DataFrame, jobs: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(entries whose job is there, the queue with the other ones in it again under their old numbers).
+
+    A null id has no job.
+    """
+    known = jobs.select(key).distinct()
+    return taken.join(known, key, "left_semi"), queue.unionByName(taken.join(known, key, "left_anti").select(*queue.columns))
 
 
 def dequeue_each(queue: DataFrame, by: str, k: int, seq: str = "enqueue_seq") -> DataFrame:

@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import fresh
+from weftline.session import cut, fresh
+
+SMALL = 100_000  # sliced identifiers that are broadcast; more of them are joined
 
 
 @dataclass(frozen=True)
@@ -24,12 +26,13 @@ class Deliveries:
 
 def _ranked(rows: DataFrame, key: str, order: list[str], slice_rows: int) -> tuple[DataFrame, Column, list[str]]:
     n, slices, piece, group, first, last = fresh(rows, "n", "slices", "piece", "group", "first", "last")
-    repeated = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(last)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
-    cut = F.ceil(F.col(n) / F.lit(slice_rows))
-    # at most (all rows / slice_rows) identifiers are large enough to be sliced: that bounds the broadcast
-    large = repeated.where(F.col(n) > slice_rows).select(F.col(last).alias(group), cut.alias(slices))
-    sliced = rows.join(F.broadcast(large), F.col(key) == F.col(group), "left").withColumn(piece, F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.coalesce(F.col(slices), F.lit(1)))).drop(group, slices)
-    pieces = repeated.select(F.col(last), F.col(n), F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias(slices))
+    repeated = cut(rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(last)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1))
+    parts = F.ceil(F.col(n) / F.lit(slice_rows))
+    large = repeated.where(F.col(n) > slice_rows).select(F.col(last).alias(group), parts.alias(slices))
+    if large.limit(SMALL + 1).count() <= SMALL:
+        large = F.broadcast(large)
+    sliced = rows.join(large, F.col(key) == F.col(group), "left").withColumn(piece, F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.coalesce(F.col(slices), F.lit(1)))).drop(group, slices)
+    pieces = repeated.select(F.col(last), F.col(n), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias(slices))
     tagged = sliced.join(pieces, (F.col(key) == F.col(last)) & (F.col(piece) == F.col(slices)), "left").drop(last, slices)
     return tagged, F.col(n).isNotNull(), [n, piece, group, first, last]
 

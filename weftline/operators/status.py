@@ -29,6 +29,17 @@ def alive(set_at: Column, ttl: Column, as_of: Column) -> Column:
     return ttl.isNull() | (ttl <= 0) | (set_at + ttl > as_of)
 
 
-def missed(slo: Column, status: Column, as_of: Column) -> Column:
-    """Whether the deadline passed before the job came to an end."""
+def missed(slo: Column, status: Column, as_of: Column, started_at: Column | None = None) -> Column:
+    """Whether the deadline passed before the job came to an end, or, with ``started_at``, before it began.
+
+    A deadline on the start is met by a job that started at the deadline or before; on a null start it is missed once
+    it has passed.
+    """
+    if started_at is not None:
+        return (slo < as_of) & ~F.coalesce(started_at <= slo, F.lit(False))
     return (slo < as_of) & ~F.coalesce(is_final(status), F.lit(False))
+
+
+def retained(created_at: Column, months: int, as_of: Column) -> Column:
+    """Whether a record of this moment is still kept ``months`` months later; one without a moment is."""
+    return created_at.isNull() | (F.add_months(created_at.cast("date"), months) > as_of.cast("date"))

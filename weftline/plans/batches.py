@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars
 from weftline.operators import checks, codec, events, metrics, process, queue, status, store
+from weftline.session import cut, own_folder, remove
+from weftline.sources import config, files
 from weftline.sources.tables import table
+from weftline.streaming import live
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -250,16 +255,28 @@ def job_json_round_trip(spark, d):
     return codec.jobs_as_batches(written).select("id", "endpoint", "created_at", "status", "expires_at")
 
 
-_WINDOW = """CAST(round(sign * (coalesce(CAST(nullif(regexp_extract(w, '(\\d+)h', 1), '') AS DOUBLE), 0) * 3600 + coalesce(CAST(nullif(regexp_extract(w, '(\\d+)m', 1), '') AS DOUBLE), 0) * 60
-  + coalesce(CAST(nullif(regexp_extract(w, '(\\d+)s', 1), '') AS DOUBLE), 0))) AS BIGINT)"""
+_UNITS = "CASE regexp_extract(x, '[a-zµμ]+$') WHEN 'ns' THEN 1e-9 WHEN 'us' THEN 1e-6 WHEN 'µs' THEN 1e-6 WHEN 'μs' THEN 1e-6 WHEN 'ms' THEN 1e-3 WHEN 's' THEN 1 WHEN 'm' THEN 60 ELSE 3600 END"
+_TOKENS = "regexp_extract_all(w, '(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:ns|us|µs|μs|ms|s|m|h)')"
+_WINDOW = f"CAST(trunc(sign * coalesce(list_sum(list_transform({_TOKENS}, lambda x: CAST('0' || rtrim(regexp_extract(x, '^[0-9.]+'), '.') AS DOUBLE) * {_UNITS})), 0)) AS BIGINT)"
+_DURATION = "regexp_full_match(w, '[-+]?(0|(([0-9]+[.]?[0-9]*|[.][0-9]+)(ns|us|µs|μs|ms|s|m|h))+)')"
 
 
-@query(f"SELECT id, CASE WHEN regexp_full_match(w, '[-+]?(0|(\\d+[hms])+)') THEN {_WINDOW} END AS seconds FROM (SELECT id, spec.completion_window AS w, CASE WHEN spec.completion_window LIKE '-%' THEN -1 ELSE 1 END AS sign FROM batch_jobs)")
+@query(f"SELECT id, CASE WHEN {_DURATION} THEN {_WINDOW} END AS seconds FROM (SELECT id, spec.completion_window AS w, CASE WHEN spec.completion_window LIKE '-%' THEN -1 ELSE 1 END AS sign FROM batch_jobs)")
 def completion_window_seconds(spark, d):
     return _jobs(spark, d).select("id", scalars.duration_seconds(F.col("spec.completion_window")).cast("bigint").alias("seconds"))
 
 
-@query(f"SELECT id, (created_at + {_WINDOW}) * 1000000 AS slo FROM (SELECT id, spec.created_at AS created_at, spec.completion_window AS w, CASE WHEN spec.completion_window LIKE '-%' THEN -1 ELSE 1 END AS sign FROM batch_jobs) WHERE regexp_full_match(w, '[-+]?(0|(\\d+[hms])+)')")
+_ODD = "CASE o_orderkey % 9 WHEN 0 THEN n || '.5h' WHEN 1 THEN '-' || n || 'm.25s' WHEN 2 THEN n || 'ms' WHEN 3 THEN '+' || n || '.h1m' WHEN 4 THEN n || 'd' WHEN 5 THEN n || ' h' WHEN 6 THEN '0' WHEN 7 THEN n || 'us' || n || 'µs' ELSE '' END"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {_DURATION} THEN {_WINDOW} END AS seconds FROM (SELECT o_orderkey, {_ODD} AS w, CASE WHEN {_ODD} LIKE '-%' THEN -1 ELSE 1 END AS sign FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS n FROM orders))")
+def odd_durations(spark, d):
+    """Durations of every unit, with fractions and signs, and texts that are none."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("n")).select("o_orderkey", F.expr(_ODD).alias("w"))
+    return rows.select("o_orderkey", scalars.duration_seconds(F.col("w")).cast("bigint").alias("seconds"))
+
+
+@query(f"SELECT id, (created_at + {_WINDOW}) * 1000000 AS slo FROM (SELECT id, spec.created_at AS created_at, spec.completion_window AS w, CASE WHEN spec.completion_window LIKE '-%' THEN -1 ELSE 1 END AS sign FROM batch_jobs) WHERE {_DURATION}")
 def slo_of_jobs(spark, d):
     rows = _jobs(spark, d).where(scalars.is_duration(F.col("spec.completion_window")))
     return rows.select("id", F.unix_micros(codec.slo(F.col("spec.created_at"), F.col("spec.completion_window"))).alias("slo"))
@@ -285,15 +302,19 @@ def request_status_names(spark, d):
 @query("""
 SELECT id, CASE WHEN coalesce(w, '') = '' THEN 'completion_window is required' WHEN NOT regexp_full_match(w, '[-+]?(0|((\\d+\\.?\\d*|\\.\\d+)(ns|us|ms|s|m|h))+)') THEN 'completion_window must be a valid duration (e.g., 24h)'
   WHEN coalesce(e, '') = '' THEN 'endpoint is required' WHEN e NOT IN ('/v1/responses', '/v1/chat/completions', '/v1/embeddings', '/v1/completions', '/v1/moderations') THEN 'invalid endpoint: ' || e
-  WHEN coalesce(f, '') = '' THEN 'input_file_id is required' END AS error
-FROM (SELECT id, spec.completion_window AS w, spec.endpoint AS e, spec.input_file_id AS f FROM batch_jobs)""")
+  WHEN coalesce(f, '') = '' THEN 'input_file_id is required' WHEN x IS NOT NULL AND x % 7 = 0 THEN 'output_expires_after.anchor is required'
+  WHEN x NOT BETWEEN 3600 AND 2592000 THEN 'output_expires_after.seconds must be between 3600 (1 hour) and 2592000 (30 days)' END AS error
+FROM (SELECT id, spec.completion_window AS w, spec.endpoint AS e, spec.input_file_id AS f, CASE WHEN spec.created_at % 3 > 0 THEN spec.created_at % 4000 * 800 END AS x FROM batch_jobs)""")
 def validate_create_batch(spark, d):
-    return _jobs(spark, d).select("id", checks.batch_request_error(F.col("spec.completion_window"), F.col("spec.endpoint"), F.col("spec.input_file_id")).alias("error"))
+    seconds = F.col("spec.created_at") % 4000 * 800
+    expiry = F.when(F.col("spec.created_at") % 3 > 0, F.struct(seconds.alias("seconds"), F.when(seconds % 7 == 0, "").otherwise("created_at").alias("anchor")))
+    return _jobs(spark, d).select("id", checks.batch_request_error(F.col("spec.completion_window"), F.col("spec.endpoint"), F.col("spec.input_file_id"), expiry).alias("error"))
 
 
-@query("SELECT enqueue_seq, CASE WHEN coalesce(id, '') = '' THEN 'ID is empty' WHEN slo IS NULL THEN 'SLO is zero for ID ' || id END AS error FROM job_queue")
+@query("SELECT enqueue_seq, CASE WHEN coalesce(id, '') = '' THEN 'ID is empty' WHEN slo IS NULL THEN 'SLO is zero for ID ' || id WHEN coalesce(j.ttl, 0) % 11 <= 0 THEN 'TTL is invalid for ID ' || id END AS error FROM job_queue LEFT JOIN (SELECT id, ttl FROM batch_jobs) j USING (id)")
 def queue_entry_errors(spark, d):
-    return _queue(spark, d).select("enqueue_seq", checks.job_error(F.col("id"), F.col("slo"), F.lit(1)).alias("error"))
+    rows = _queue(spark, d).join(_jobs(spark, d).select("id", "ttl"), "id", "left")
+    return rows.select("enqueue_seq", checks.job_error(F.col("id"), F.col("slo"), F.col("ttl") % 11).alias("error"))
 
 
 @query("SELECT id, result_metadata.succeeded + result_metadata.failed = result_metadata.total AS agrees FROM batch_jobs")
@@ -336,12 +357,13 @@ def request_parameters(spark, d):
     return params.select(F.col("request_id").cast("bigint").alias("row_seq"), "model", F.expr("try_variant_get(params, '$.model', 'string')").alias("body_model"), F.expr("try_variant_get(params, '$.max_tokens', 'bigint')").alias("max_tokens"))
 
 
-@query("SELECT r.row_seq, coalesce(CASE WHEN json_valid(request_body) THEN TRY_CAST(request_body ->> '$.max_tokens' AS BIGINT) END, m.most, 256) AS max_tokens FROM requests r LEFT JOIN (SELECT model, count(*) AS most FROM requests GROUP BY model) m ON r.model = m.model")
+@query("SELECT r.row_seq, coalesce(CASE WHEN json_valid(request_body) THEN TRY_CAST(request_body ->> '$.max_tokens' AS BIGINT) END, m.most, CASE r.end_point WHEN '/v1/embeddings' THEN 64 WHEN '/v1/responses' THEN 512 END, 256) AS max_tokens FROM requests r LEFT JOIN (SELECT model, count(*) AS most FROM requests WHERE status = 1 GROUP BY model HAVING count(*) % 2 = 0) m ON r.model = m.model")
 def parameter_defaults(spark, d):
     rows = _requests(spark, d)
-    by_model = metrics.counter(rows, "model").select("model", F.col("value").alias("most"))
+    by_model = metrics.counter(rows.where("status = 1"), "model").where("value % 2 = 0").select("model", F.col("value").alias("most"))
+    by_api = F.when(F.col("end_point") == "/v1/embeddings", 64).when(F.col("end_point") == "/v1/responses", 512).cast("bigint")
     own = F.expr("try_variant_get(try_parse_json(request_body), '$.max_tokens', 'bigint')")
-    return rows.join(by_model, "model", "left").select("row_seq", process.with_defaults(own, F.col("most"), F.lit(None), F.lit(256).cast("bigint")).alias("max_tokens"))
+    return rows.join(by_model, "model", "left").select("row_seq", process.with_defaults(own, F.col("most"), by_api, F.lit(256).cast("bigint")).alias("max_tokens"))
 
 
 @query("SELECT q.request_id, r.request_id IS NOT NULL AS answered FROM inference_requests q LEFT JOIN inference_responses r ON q.request_id = r.request_id")
@@ -439,11 +461,13 @@ def usage_by_model(spark, d):
     return _jobs(spark, d).groupBy(F.col("status.model").alias("model")).agg(*[F.sum(u + c).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")])
 
 
-@query("SELECT job_id, line // 1000 AS chunk, string_agg(line || ':' || end_point, ';' ORDER BY line, row_seq) AS errors FROM requests WHERE status = 1 AND job_id IS NOT NULL AND end_point IS NOT NULL AND line IS NOT NULL GROUP BY ALL")
+@query("""
+SELECT job_id, (r - 1) // 1000 AS chunk, string_agg(concat_ws(':', line, row_seq, end_point), ';' ORDER BY r) AS errors
+FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY line NULLS FIRST, row_seq) AS r FROM requests WHERE status = 1) GROUP BY job_id, chunk""")
 def job_error_lists(spark, d):
-    failed = _requests(spark, d).where("status = 1 AND job_id IS NOT NULL AND end_point IS NOT NULL AND line IS NOT NULL")
+    failed = _requests(spark, d).where("status = 1")
     listed = process.error_list(failed.select("job_id", "line", F.col("row_seq").alias("code"), F.col("end_point").alias("message"), F.lit(None).cast("string").alias("param")))
-    return listed.select("job_id", "chunk", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["line"], e["message"])), ";").alias("errors"))
+    return listed.select("job_id", "chunk", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["line"], e["code"], e["message"])), ";").alias("errors"))
 
 
 @query("""
@@ -472,12 +496,12 @@ def group_by_centroid(spark, d):
 
 @query("SELECT model, end_point, count(*) AS n FROM requests GROUP BY ALL")
 def requests_grouped(spark, d):
-    return process.grouped(_requests(spark, d).select("model", "end_point"), 8, "model", "end_point").groupBy("model", "end_point").agg(F.count(F.lit(1)).alias("n"))
+    return process.grouped(_requests(spark, d).select("model", "end_point"), "model", "end_point").groupBy("model", "end_point").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'requests_total{end_point=\"' || end_point || '\",status=\"' || status || '\"} ' || count(*) AS line FROM requests WHERE end_point IS NOT NULL GROUP BY end_point, status")
+@query("SELECT 'requests_total{' || CASE WHEN end_point IS NULL THEN '' ELSE 'end_point=\"' || end_point || '\",' END || 'status=\"' || status || '\"} ' || count(*) AS line FROM requests GROUP BY end_point, status")
 def metrics_text(spark, d):
-    counted = metrics.counter(_requests(spark, d).where("end_point is not null"), "end_point", "status")
+    counted = metrics.counter(_requests(spark, d), "end_point", "status")
     return metrics.exposition(counted, "requests_total", "value", "end_point", "status")
 
 
@@ -508,7 +532,7 @@ def inference_errors(spark, d):
 
 _ASKED = f"""SELECT id, spec.completion_window AS w, {_WINDOW.replace("sign *", "CASE WHEN w LIKE '-%' THEN -1 ELSE 1 END *")} AS seconds, spec.created_at AS made, spec.endpoint AS e, spec.input_file_id AS f,
   CASE WHEN ttl % 2 = 0 THEN 3600 + ttl % 1000 END AS x, CASE WHEN status.model LIKE 'q%' THEN 'later' ELSE 'created_at' END AS anchor FROM batch_jobs WHERE spec IS NOT NULL"""
-_SOUND = "regexp_full_match(w, '[-+]?(0|(\\d+[hms])+)') AND e IN ('/v1/responses', '/v1/chat/completions', '/v1/embeddings', '/v1/completions', '/v1/moderations') AND coalesce(f, '') <> ''"
+_SOUND = _DURATION + " AND e IN ('/v1/responses', '/v1/chat/completions', '/v1/embeddings', '/v1/completions', '/v1/moderations') AND coalesce(f, '') <> ''"
 
 
 def _created(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -546,69 +570,288 @@ def request_identifiers(spark, d):
     return rows.select("row_seq", scalars.identifier(F.col("request_id"), F.concat(F.lit("row-"), F.col("row_seq").cast("string"))).alias("request_id"), scalars.tag_condition_name(F.col("status") + 1).alias("condition"))
 
 
-def latest_status_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The latest status kept by a streaming query over the events file, run to the end of what is there."""
-    import uuid
-
-    from weftline.session import shared_dir
-    from weftline.streaming import live
+def _run_stream(spark: SparkSession, rows: DataFrame, mode: str, one_batch: bool = False) -> DataFrame:
+    """What a streaming query has put out once it has read all there is; its folders are removed.
 
-    shared_dir(spark)
-    path = f"{d}/events.parquet"
-    rows = live.read_stream(spark, path if not path.endswith(".parquet") else f"{d}/event[s].parquet", spark.read.parquet(path).schema)
-    out = live.latest_status(rows, "user_id", "event_type", ["ts", "event_id"])
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    State with processing-time timers asks for batch after batch, so it is run for one only.
+    """
+    place = own_folder(spark, "stream")
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/out")
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/out")
 
-    q = out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    writer = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state")
+    (writer.trigger(once=True) if one_batch else writer.trigger(availableNow=True)).start().awaitTermination()
+    out = cut(spark.read.parquet(f"{place}/out"))
+    remove(spark, place)
+    return out
 
 
-QUERIES["latest_status_stream"] = latest_status_stream
-SQL["latest_status_stream"] = _LATEST
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return live.read_stream(spark, f"{d}/event[s].parquet", spark.read.parquet(f"{d}/events.parquet").schema)
 
 
-def events_per_day_stream(spark: SparkSession, d: str) -> DataFrame:
+@query(_LATEST)
+def latest_status_stream(spark, d):
+    """The latest status kept by a streaming query over the events file, run to the end of what is there."""
+    return _run_stream(spark, live.latest_status(_event_stream(spark, d), "user_id", "event_type", ["ts", "event_id"]), "complete")
+
+
+@query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_per_day_stream(spark, d):
     """Counts per day and type kept by a streaming query, in complete mode, so that the open days come out as well."""
-    import uuid
+    out = _run_stream(spark, live.counts_per_period(_event_stream(spark, d), "ts", "1 day", "1 hour", "event_type"), "complete")
+    return out.select(F.unix_timestamp("period_start").alias("day"), "event_type", "n")
+
+
+@query("SELECT user_id, count(*) AS writes FROM events GROUP BY user_id")
+def state_with_ttl(spark, d):
+    """Writes per key counted by a stateful operator whose cells run out after a day without a write."""
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = _event_stream(spark, d).select("user_id", "event_type")
+        out = _run_stream(spark, live.expiring_state(rows, "user_id", "event_type", 86_400_000), "update", one_batch=True)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept) if kept else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return out.groupBy("user_id").agg(F.max("writes").alias("writes"))
+
+
+@query("SELECT enqueue_seq, id FROM job_queue")
+def queue_polled_twice(spark, d):
+    """The queue polled in two runs over a growing folder: the second goes on where the first stopped."""
+    place = own_folder(spark, "poll")
+    entries = _queue(spark, d).select("enqueue_seq", "id")
+    for part in (entries.where("enqueue_seq % 2 = 0"), entries.where("enqueue_seq % 2 <> 0")):
+        part.write.mode("append").parquet(f"{place}/in")
+        stream = live.read_stream(spark, f"{place}/in", entries.schema)
+        live.poll(stream, lambda batch, n: batch.write.mode("append").parquet(f"{place}/out"), f"{place}/state", once=True).awaitTermination()
+    out = cut(spark.read.parquet(f"{place}/out"))
+    remove(spark, place)
+    return out
+
+
+@query("SELECT CAST(row_seq AS VARCHAR) AS request_id, end_point, request_body, true AS numbered FROM requests")
+def request_file_round_trip(spark, d):
+    """All requests stored as line-wise JSON files, listed, and read back with their line numbers."""
+    place = own_folder(spark, "files")
+    line = codec.encode(F.col("row_seq").cast("string").alias("custom_id"), F.lit("POST").alias("method"), F.col("end_point").alias("url"), F.col("request_body").alias("body"))
+    files.store(_requests(spark, d).select(line.alias("value")), place, 10**15)
+    read = cut(files.read_requests(spark, place))
+    remove(spark, place)
+    # a file's lines are numbered from 1 without gaps
+    whole = read.groupBy("location").agg((F.count_distinct("line") == F.max("line")).alias("numbered"))
+    return read.join(whole, "location").select("request_id", "end_point", "request_body", "numbered")
 
-    from weftline.session import shared_dir
-    from weftline.streaming import live
 
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = live.read_stream(spark, f"{d}/event[s].parquet", spark.read.parquet(f"{d}/events.parquet").schema)
-    out = live.counts_per_period(rows, "ts", "1 day", "1 hour", "event_type")
+@query("SELECT sum(strlen(n_name) + 1)::BIGINT AS bytes, count(*) AS lines, true AS removed, false AS removed_again FROM nation")
+def files_stored_and_deleted(spark, d):
+    """Lines stored below a limit, listed with their sizes, retrieved and deleted."""
+    place = own_folder(spark, "files")
+    files.store(table(spark, d, "nation").select(F.col("n_name").alias("value")), place, 100_000)
+    sizes = cut(files.list_files(spark, f"{place}/part-*").agg(F.sum("size").alias("bytes")))
+    lines = cut(files.retrieve(spark, place)[0].agg(F.count(F.lit(1)).alias("lines")))
+    removed, again = files.delete(spark, place), files.delete(spark, place)
+    return sizes.withColumn("one", F.lit(1)).join(lines.withColumn("one", F.lit(1)), "one").select("bytes", "lines", F.lit(removed).alias("removed"), F.lit(again).alias("removed_again"))
 
-    def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/out")
 
-    q = out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{place}/out").select(F.unix_timestamp("period_start").alias("day"), "event_type", "n")
+_FLAKY = "CAST(row_seq % 4 AS INTEGER)"
 
 
-QUERIES["events_per_day_stream"] = events_per_day_stream
-SQL["events_per_day_stream"] = "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY ALL"
+def _flaky():
+    seen: dict[str, int] = {}
+    lock = threading.Lock()
 
+    def answer(request_id: str, model: str, body: str) -> str:
+        with lock:
+            seen[request_id] = seen.get(request_id, 0) + 1
+            failed = seen[request_id] <= int(request_id) % 4
+        if failed:
+            raise process.InferenceError("RATE_LIMIT" if int(request_id) % 8 < 4 else "SERVER_ERROR", "again later")
+        return "done"
 
-def request_file_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """All requests stored as line-wise JSON files, listed, read back with their line numbers and counted per end point."""
-    import uuid
+    return answer
 
-    from weftline.session import shared_dir
-    from weftline.sources import files
 
-    place = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
-    line = codec.encode(F.col("row_seq").cast("string").alias("custom_id"), F.lit("POST").alias("method"), F.col("end_point").alias("url"), F.col("request_body").alias("body"))
-    files.store(_requests(spark, d).select(line.alias("value")), place, 10**15)
-    read = files.read_requests(spark, place)
-    # a file's lines are numbered from 1 without gaps
-    whole = read.groupBy("location").agg((F.count_distinct("line") == F.max("line")).alias("numbered"))
-    return read.join(whole, "location").groupBy("end_point").agg(F.count(F.lit(1)).alias("n"), F.count("request_body").alias("bodies"), F.min("numbered").alias("numbered"))
+@query(f"""
+SELECT CAST(row_seq AS VARCHAR) AS request_id, CASE WHEN {_FLAKY} < 3 THEN 'done' END AS response, CASE WHEN {_FLAKY} = 3 THEN CASE WHEN row_seq % 8 < 4 THEN 'RATE_LIMIT' ELSE 'SERVER_ERROR' END END AS category,
+  least({_FLAKY} + 1, 3) AS attempts FROM requests""")
+def inference_retried(spark, d):
+    """A client that fails up to three times in a way worth another try, at most two of which are made."""
+    lines = _requests(spark, d).select(F.col("row_seq").cast("string").alias("request_id"), "job_id", "model", "request_body")
+    return process.run_lines(lines, _flaky, 4, retries=2, per_model={"osier-vision": 2}).select("request_id", "response", "category", "attempts")
+
+
+@query("""
+SELECT job_id, CAST(row_seq AS VARCHAR) AS request_id, CASE WHEN request_body IS NOT NULL AND model IS NOT NULL THEN model || ':' || length(request_body) END AS response,
+  CASE WHEN request_body IS NULL THEN 'INVALID_REQ' WHEN model IS NULL THEN 'UNKNOWN' END AS category FROM requests""")
+def job_result_files(spark, d):
+    """Output and error files of every job, written and read back."""
+    place = own_folder(spark, "results")
+    lines = _requests(spark, d).select(F.col("row_seq").cast("string").alias("request_id"), "job_id", "model", "request_body")
+    output, errors = process.write_results(process.run_lines(lines, _echo, 4), place, rows_per_file=2_000)
+    schema = "request_id string, response string, category string, message string, attempts int, job_id string"
+    read = [spark.read.schema(schema).json(x).select("job_id", "request_id", "response", "category") for x in (output, errors)]
+    out = cut(read[0].unionByName(read[1]))
+    remove(spark, place)
+    return out
+
+
+@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY spec.created_at NULLS FIRST, id) AS n FROM batch_jobs) WHERE n > 60 AND n <= 90")
+def list_jobs_by_cursor(spark, d):
+    """The third page of thirty jobs, read on from the cursor of the one before."""
+    rows, cursor = _jobs(spark, d).select("id", F.col("spec.created_at").alias("created_at")), ""
+    for _ in range(2):
+        _, cursor = store.page_after(rows, ["created_at", "id"], 30, cursor)
+    return store.page_after(rows, ["created_at", "id"], 30, cursor)[0].select("id")
+
+
+@query("SELECT enqueue_seq, id FROM job_queue ORDER BY delivered_at DESC NULLS LAST, enqueue_seq LIMIT 100")
+def dequeue_latest_first(spark, d):
+    return queue.dequeue(_queue(spark, d), 100, by=[F.col("delivered_at").desc_nulls_last()])[0].select("enqueue_seq", "id")
 
 
-QUERIES["request_file_round_trip"] = request_file_round_trip
-SQL["request_file_round_trip"] = "SELECT end_point, count(*) AS n, count(request_body) AS bodies, true AS numbered FROM requests GROUP BY end_point"
+@query("""
+WITH q AS (SELECT enqueue_seq, id, row_number() OVER (ORDER BY slo NULLS LAST, enqueue_seq) AS r FROM job_queue)
+SELECT enqueue_seq, 'taken' AS place FROM q WHERE r <= 200 AND id IN (SELECT id FROM batch_jobs) UNION ALL
+SELECT enqueue_seq, 'queued' FROM q WHERE r > 200 OR id IS NULL OR id NOT IN (SELECT id FROM batch_jobs)""")
+def queue_put_back(spark, d):
+    """Entries without a job go back into the queue they were taken from."""
+    taken, rest = queue.dequeue(_queue(spark, d), 200)
+    good, back = queue.put_back(rest, taken, _jobs(spark, d))
+    return good.select("enqueue_seq", F.lit("taken").alias("place")).unionByName(back.select("enqueue_seq", F.lit("queued").alias("place")))
+
+
+@query("SELECT id FROM batch_jobs WHERE status.status = 'cancelled' AND id NOT IN (SELECT id FROM job_queue WHERE id IS NOT NULL)")
+def queue_removal_misses(spark, d):
+    return queue.remove_first(_queue(spark, d).select("id", "enqueue_seq", "slo"), _jobs(spark, d).where("status.status = 'cancelled'").select("id"))[1]
+
+
+@query("""
+SELECT row_seq, CASE WHEN coalesce(request_id, '') = '' THEN 'request_id is required' WHEN coalesce(end_point, '') = '' THEN 'end_point is required'
+  WHEN end_point NOT IN ('/v1/chat/completions', '/v1/completions') THEN 'invalid end_point: ' || end_point WHEN coalesce(model, '') = '' THEN 'model is required'
+  WHEN model NOT IN ('osier-vision', 'quill-base') THEN 'model is not allowed: ' || model WHEN request_body IS NULL THEN 'request_body is required' END AS error FROM requests""")
+def request_lines_allowed(spark, d):
+    error = checks.line_error(F.col("request_id"), F.col("model"), F.col("end_point"), F.col("request_body"), ["/v1/chat/completions", "/v1/completions"], ["osier-vision", "quill-base"])
+    return _requests(spark, d).select("row_seq", error.alias("error"))
+
+
+@query("""
+WITH x AS (SELECT row_seq, end_point, epoch_us(sent_at) AS moment, 1 AS delta FROM requests WHERE sent_at IS NOT NULL
+  UNION ALL SELECT row_seq, end_point, epoch_us(delivered_at), -1 FROM requests WHERE delivered_at IS NOT NULL)
+SELECT row_seq, 'POST' AS method, end_point, moment, CAST(sum(delta) OVER (PARTITION BY end_point ORDER BY moment, delta DESC, row_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS value FROM x""")
+def in_flight_gauge(spark, d):
+    """Requests on their way per method and path, after every one that is sent or delivered."""
+    rows = _requests(spark, d)
+    sent = rows.where("sent_at is not null").select("row_seq", "end_point", F.unix_micros("sent_at").alias("moment"), F.lit(1).alias("delta"))
+    got = rows.where("delivered_at is not null").select("row_seq", "end_point", F.unix_micros("delivered_at").alias("moment"), F.lit(-1).alias("delta"))
+    moves = sent.unionByName(got).withColumn("method", F.lit("POST")).withColumn("down", -F.col("delta"))
+    return metrics.gauge(moves, "delta", ["moment", "down", "row_seq"], "method", "end_point").select("row_seq", "method", "end_point", "moment", "value")
+
+
+@query(f"""
+WITH c AS (SELECT s.channel, row_number() OVER (PARTITION BY s.channel ORDER BY e.event_id) AS r FROM events e JOIN ({_SUBSCRIPTIONS}) s USING (user_id))
+SELECT channel, count(*) FILTER (r <= 50) AS kept, count(*) FILTER (r > 50) AS dropped FROM c GROUP BY channel""")
+def event_buffer(spark, d):
+    """What fits into buffers of fifty events, and how much is dropped."""
+    kept, dropped = events.buffered(table(spark, d, "events"), _subscriptions(spark, d), "channel", ["event_id"], 50, "user_id")
+    return kept.groupBy("channel").agg(F.count(F.lit(1)).alias("kept")).join(dropped, "channel", "left").withColumn("dropped", F.coalesce("dropped", F.lit(0)))
+
+
+_EVENT = "CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 END"
+
+
+@query(f"""
+SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'ID is empty' WHEN ({_EVENT}) = 3 THEN 'event type 3 is invalid for ID ' || user_id
+  WHEN event_type = 'purchase' OR ({_EVENT}) IS NULL THEN NULL WHEN event_id % 5 = 0 THEN 'TTL is invalid for ID ' || user_id END AS error
+FROM events WHERE ({_EVENT}) IS NOT NULL""")
+def event_errors(spark, d):
+    rows = table(spark, d, "events").withColumn("kind", F.expr(_EVENT)).where("kind is not null")
+    return rows.select("event_id", checks.event_error(F.when(F.col("user_id") % 10 == 0, "").otherwise(F.col("user_id").cast("string")), F.col("kind"), F.col("event_id") % 5).alias("error"))
+
+
+@query("SELECT o_orderkey, c, c IN ('RATE_LIMIT', 'SERVER_ERROR') AS again FROM (SELECT o_orderkey, ['RATE_LIMIT', 'SERVER_ERROR', 'INVALID_REQ', 'AUTH_ERROR', 'UNKNOWN'][o_orderkey % 5 + 1] AS c FROM orders)")
+def retryable_categories(spark, d):
+    kinds = F.array(*[F.lit(x) for x in ("RATE_LIMIT", "SERVER_ERROR", "INVALID_REQ", "AUTH_ERROR", "UNKNOWN")])
+    rows = table(spark, d, "orders").select("o_orderkey", F.element_at(kinds, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("c"))
+    return rows.withColumn("again", checks.is_retryable(F.col("c")))
+
+
+_BROKEN = "CASE WHEN ttl % 7 = 0 THEN '' WHEN ttl % 7 = 1 THEN 'null' WHEN ttl % 7 = 2 THEN '{\"endpoint\": ' WHEN ttl % 7 = 3 THEN '[1]'"
+
+
+@query("SELECT id, CASE WHEN ok THEN spec.endpoint END AS endpoint, CASE WHEN ok THEN spec.input_file_id END AS input_file_id, CASE WHEN ok THEN spec.completion_window END AS completion_window, CASE WHEN ok THEN ttl END AS seconds, ok FROM (SELECT *, spec IS NOT NULL AND coalesce(ttl % 7 > 3, true) AS ok FROM batch_jobs)")
+def job_requests_decoded(spark, d):
+    """JSON texts of job requests, some of them blank, broken or no object, read with the schema of a request."""
+    body = F.to_json(F.struct("spec.endpoint", "spec.input_file_id", "spec.completion_window", F.struct(F.col("ttl").alias("seconds"), F.lit("created_at").alias("anchor")).alias("output_expires_after")))
+    texts = _jobs(spark, d).withColumn("whole", F.when(F.col("spec").isNotNull(), body)).select("id", F.expr(f"{_BROKEN} ELSE whole END").alias("body"))
+    read = codec.decode(texts, "body", codec.REQUEST, "r")
+    return read.select("id", "r.endpoint", "r.input_file_id", "r.completion_window", F.col("r.output_expires_after.seconds").alias("seconds"), F.col("r_ok").alias("ok"))
+
+
+@query("SELECT id, spec.endpoint AS endpoint FROM batch_jobs WHERE spec IS NOT NULL AND status IS NOT NULL AND coalesce(ttl % 7 > 3, true)")
+def unreadable_jobs_skipped(spark, d):
+    """Jobs of which either text cannot be read are left out of a list."""
+    written = _jobs(spark, d).withColumn("text", F.to_json("spec")).select("id", F.expr(f"{_BROKEN} ELSE text END").alias("spec"), F.to_json("status").alias("status"))
+    return codec.jobs_as_batches(written).select("id", "endpoint")
+
+
+@query("""
+SELECT id, strftime(make_timestamp(spec.created_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created, contains(spec.endpoint, 'chat') AS chat, array_to_string(tags[2:], ',') AS rest,
+  array_to_string(list_append(coalesce(tags, []), 'seen'), ',') AS more, array_to_string(tags[1:1] || tags[3:], ',') AS without_second FROM batch_jobs""")
+def scalar_forms(spark, d):
+    """Date text, substring test, slice, append and delete."""
+    tags = F.col("tags")
+    text = lambda c: F.array_join(c, ",")
+    return _jobs(spark, d).select(
+        "id", scalars.utc_text(F.col("spec.created_at")).alias("created"), scalars.contains(F.col("spec.endpoint"), F.lit("chat")).alias("chat"), text(F.slice(tags, 2, F.greatest(F.size(tags), F.lit(1)))).alias("rest"),
+        text(scalars.with_item(tags, F.lit("seen"))).alias("more"), text(scalars.without_item(tags, F.lit(1))).alias("without_second"),
+    )
+
+
+@query("""
+SELECT id, h[1:8] || '-' || h[9:12] || '-3' || h[14:16] || '-' || substr('89ab', CAST('0x' || h[17:17] AS INTEGER) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS name_id FROM (SELECT id, md5(id) AS h FROM batch_jobs)""")
+def name_uuids(spark, d):
+    return _jobs(spark, d).select("id", scalars.name_uuid(F.col("id")).alias("name_id"))
+
+
+@query("SELECT id FROM batch_jobs WHERE epoch_us(slo) < 1743500000000000 AND (status.in_progress_at IS NULL OR status.in_progress_at * 1000000 > epoch_us(slo))")
+def jobs_started_late(spark, d):
+    """Deadlines on the start of a job rather than its end."""
+    late = status.missed(F.col("slo"), F.col("status.status"), F.timestamp_micros(F.lit(1743500000000000)), F.timestamp_seconds("status.in_progress_at"))
+    return _jobs(spark, d).where(late).select("id")
+
+
+@query("SELECT id FROM batch_jobs WHERE spec.created_at IS NULL OR CAST(make_timestamp(spec.created_at * 1000000) AS DATE) + INTERVAL 2 MONTH > DATE '2025-05-20'")
+def jobs_retained(spark, d):
+    made = F.date_from_unix_date(F.floor(F.col("spec.created_at") / 86400).cast("int"))
+    return _jobs(spark, d).where(status.retained(made, 2, F.lit("2025-05-20").cast("date"))).select("id")
+
+
+@query("SELECT * FROM (VALUES ('plain', NULL), ('no port', 'port is empty'), ('half a pair', 'certificate and key go together'), ('no such file', '/no/such.crt'), ('unknown name', 'unknown settings: colour')) t(name, error)")
+def settings_errors(spark, d):
+    """Settings checked one after the other."""
+    cases = {"plain": {}, "no port": {"port": ""}, "half a pair": {"ssl_cert_file": "a"}, "no such file": {"ssl_cert_file": "/no/such.crt", "ssl_key_file": "/no/such.key"}, "unknown name": {"colour": "red"}}
+    rows = []
+    for name, values in cases.items():
+        try:
+            config.settings(values).check()
+            rows.append((name, None))
+        except (ValueError, FileNotFoundError) as e:
+            rows.append((name, str(e)))
+    return spark.createDataFrame(rows, "name string, error string")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, n_nationkey % 2 = 0 AS updated FROM nation")
+def versions_written_and_cleared(spark, d):
+    """A table of versions: written twice, read at its pointer, old versions cleared, then closed."""
+    place = own_folder(spark, "versions")
+    kept = store.Versions(spark, place)
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    kept.write(rows.withColumn("updated", F.lit(False)))
+    kept.write(kept.read().withColumn("updated", F.col("id") % 2 == 0))
+    if kept.clear() != 1:
+        raise AssertionError("one old version was there to clear")
+    out = cut(kept.read())
+    kept.close()
+    return out

@@ -25,13 +25,13 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     """Whole messages, stored ones (the first half of the deliveries by hash) and new ones, one of each."""
     rows = table(spark, d, "requests")
     new = F.pmod(F.xxhash64("delivery_batch"), F.lit(2)) == 1
-    return redelivery.deduplicate(rows.where(~new | new.isNull()), rows.where(new), "request_id", ["delivered_at", "row_seq"]).kept.drop("delivered_at", "sent_at")
+    return redelivery.deduplicate(rows.where(~new | new.isNull()), rows.where(new), "request_id", ["delivered_at", "row_seq"]).kept.withColumns({c: F.unix_micros(c) for c in ("delivered_at", "sent_at")})
 
 
 def p1_kept_queue(spark: SparkSession, d: str) -> DataFrame:
     """Whole rows of job_queue, one of each id; rows without an id are all kept."""
     key, order = ORDER["job_queue"]
-    return redelivery.keep_one(table(spark, d, "job_queue"), key, order).kept
+    return redelivery.keep_one(table(spark, d, "job_queue"), key, order).kept.withColumns({c: F.unix_micros(c) for c in ("delivered_at", "slo")})
 
 
 def _json_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +174,8 @@ def _relation_sql(relation: str, single: bool, fields: dict[str, str]) -> str:
 
 _RECORDS = rf"""
 WITH r AS (SELECT file_id, line, CASE WHEN right(raw_text, 1) = chr(13) THEN raw_text[:-2] ELSE coalesce(raw_text, '') END AS t FROM raw_lines),
-f AS (SELECT *, regexp_full_match(t, '(?s){_FIELD}(,{_FIELD})*') AS well, regexp_extract(t, '(?s)^{",".join([_FIELD] * 6)}$', ['a', 'b', 'c', 'd', 'e', 'f']) AS x, regexp_full_match(t, '(?s){",".join([_FIELD] * 6)}') AS six FROM r),
+f AS (SELECT *, regexp_full_match(t, '(?s){_FIELD}(,{_FIELD})*') AS well, regexp_extract(t, '(?s)^{",".join([_FIELD] * 6)}$', ['a', 'b', 'c', 'd', 'e', 'f']) AS x, regexp_full_match(t, '(?s){",".join([_FIELD] * 6)}')
+  AND NOT regexp_matches(regexp_replace(rtrim(t, chr(13)), '"(?:[^"]|"")*"', '', 'g'), '[\r\n]') AS six FROM r),
 v AS (SELECT *, {_PLAIN.format("x.a")} AS a, {_PLAIN.format("x.b")} AS b, {_PLAIN.format("x.c")} AS c, {_PLAIN.format("x.d")} AS d, {_PLAIN.format("x.e")} AS e, {_PLAIN.format("x.f")} AS s FROM f),
 w AS (SELECT *, regexp_replace(e, '"(?:[^"\\]|\\.)*"', '""', 'g') AS bare FROM v)"""
 _REJECTED = rf"""NOT well OR NOT six OR a = '' OR NOT regexp_full_match(c, 'batch_[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')
@@ -187,7 +188,11 @@ SELECT 'requests' AS table_name, row_seq FROM (SELECT row_seq, row_number() OVER
 UNION ALL
 SELECT 'job_queue', enqueue_seq FROM (SELECT enqueue_seq, row_number() OVER (PARTITION BY id ORDER BY delivered_at NULLS LAST, enqueue_seq) AS r FROM job_queue WHERE id IS NOT NULL) WHERE r > 1""",
     "p1_kept": """
-SELECT * EXCLUDE (delivered_at, sent_at, r) FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY delivered_at NULLS LAST, row_seq) AS r FROM requests) WHERE r = 1 OR request_id IS NULL""",
+SELECT * EXCLUDE (r) REPLACE (epoch_us(delivered_at) AS delivered_at, epoch_us(sent_at) AS sent_at)
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY delivered_at NULLS LAST, row_seq) AS r FROM requests) WHERE r = 1 OR request_id IS NULL""",
+    "p1_kept_queue": """
+SELECT * EXCLUDE (r) REPLACE (epoch_us(delivered_at) AS delivered_at, epoch_us(slo) AS slo)
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY delivered_at NULLS LAST, enqueue_seq) AS r FROM job_queue) WHERE r = 1 OR id IS NULL""",
     "p2_found": r"""
 WITH docs AS (SELECT request_id, 'params' AS side, params AS doc FROM inference_requests UNION ALL SELECT request_id, 'response', response FROM inference_responses),
 tree AS (SELECT d.request_id, d.side, t.id, t.parent, t.type, t.fullkey FROM docs d, json_tree(d.doc) t)

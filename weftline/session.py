@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,16 +44,20 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in a local test, a temporary folder of this machine is taken.
+    Only where that is unset, as in a local test, a temporary folder of this machine is taken, and removed at the end.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        own = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
+    # Spark removes a checkpoint's files once no plan refers to it any more
+    spark.sparkContext._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return named
 
 
@@ -60,6 +67,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, location: str) -> bool:
+    """Remove a file or folder; false if there was none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that do not clash with any column of df, whatever the caller's extra columns are called."""
     taken = {c.lower() for c in df.columns}

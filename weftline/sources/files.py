@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.codec import LINE
-from weftline.session import cut
+from weftline.session import cut, remove
 
 
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -51,5 +51,4 @@ def store(rows: DataFrame, location: str, limit: int, column: str = "value") ->
 
 def delete(spark: SparkSession, location: str) -> bool:
     """Remove a file or folder; false if there was none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return remove(spark, location)
