@@ -73,11 +73,12 @@ def test_frames(spark):
 
 
 def test_tokens(spark):
-    from weftline.llm.tokens import TOKENIZER, count_tokens, encoder
+    from weftline.llm.queries import TOKENIZER
+    from weftline.llm.tokens import count_tokens, encoder
 
     with open(TOKENIZER, "rb") as f:
         own = encoder(f.read())
     texts = ["", "hello world", "Straße 12 – ok\n\n", None, "w" * 100_000, "<|endoftext|>"]
-    got = count_tokens(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()
+    got = count_tokens(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), tokenizer=TOKENIZER).orderBy("i").collect()
     assert [x.tokens for x in got] == [len(own.encode_ordinary(t)) if t else 0 for t in texts]
     assert all(own.decode(own.encode_ordinary(t)) == t for t in texts if t)

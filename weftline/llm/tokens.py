@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary cuts a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -23,8 +22,8 @@ def encoder(ranks: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def count_tokens(documents: DataFrame, text: str = "text", into: str = "tokens", tokenizer: str = TOKENIZER) -> DataFrame:
-    """documents without their text, with its length in tokens; null counts 0. The vocabulary (under 1 MB) is broadcast."""
+def count_tokens(documents: DataFrame, text: str = "text", into: str = "tokens", *, tokenizer: str) -> DataFrame:
+    """documents without their text, with its length in tokens; null counts 0. The vocabulary file at ``tokenizer`` (under 1 MB) is broadcast."""
     ranks = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     cache: dict = {}
 
