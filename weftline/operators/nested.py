@@ -13,6 +13,8 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 from json.decoder import scanstring
+from json.encoder import encode_basestring_ascii as quoted
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,7 @@ OCCURRENCE = "doc_key string, side string, node_path string, parent_path string,
 BATCH = 20_000
 #: Key of a reference to a nested container. All nested containers are references, so no other object can stand there.
 NODE = "$node"
+_KEY = itemgetter(0)
 _SPACE = re.compile(r"[ \t\n\r]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
 _WORDS = {"true": True, "false": False, "null": None}
@@ -111,8 +114,11 @@ def parse_deep(text: str) -> object:
             raise ValueError(f"no JSON at {at}")
 
 
+_WRITTEN = {True: "true", False: "false", None: "null"}
+
+
 def _scalar(value: object) -> str:
-    return str.__str__(value) if isinstance(value, _Number) else json.dumps(value)
+    return str.__str__(value) if isinstance(value, _Number) else quoted(value) if isinstance(value, str) else _WRITTEN[value]
 
 
 def _members(value: object) -> list[tuple]:
@@ -152,18 +158,20 @@ def flatten_text(text: str) -> list[tuple]:
             body = "[" + ",".join(t for _, t in parts) + "]"
         else:
             # keys in order; the values of a repeated key keep theirs
-            body = "{" + ",".join(f"{json.dumps(k)}:{t}" for k, t in sorted(parts, key=lambda x: x[0])) + "}"
+            body = "{" + ",".join(f"{quoted(k)}:{t}" for k, t in sorted(parts, key=_KEY)) + "}"
         ids[i] = blake2b(body.encode(), digest_size=16).hexdigest()
         texts[i] = body
         if up >= 0:
             order[up][-1][place] = f'{{"{NODE}":"{ids[i]}"}}'
-    kind = lambda v: "array" if isinstance(v, list) else "object"
+    kinds = ["array" if isinstance(x[0], list) else "object" for x in order]
+    repeats = any(isinstance(x[0], _Repeating) for x in order)
     seen: set[str] = set()
     out = []
     for i, (value, up, path, key, ordinal, relation, *_) in enumerate(order):
-        above = (order[up][2], kind(order[up][0]), ids[up]) if up >= 0 else (None, None, None)
-        out.append((path, above[0], relation, key, ordinal, kind(value), above[1], path in seen, ids[i], above[2], texts[i]))
-        seen.add(path)
+        above, kind, parent = (order[up][2], kinds[up], ids[up]) if up >= 0 else (None, None, None)
+        out.append((path, above, relation, key, ordinal, kinds[i], kind, repeats and path in seen, ids[i], parent, texts[i]))
+        if repeats:
+            seen.add(path)
     return out
 
 
