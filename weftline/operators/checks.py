@@ -13,6 +13,19 @@ from weftline.operators.badrows import END_POINTS
 #: States a job does not leave, and error categories worth another try.
 FINAL = ("completed", "failed", "expired", "cancelled")
 RETRYABLE = ("RATE_LIMIT", "SERVER_ERROR")
+#: The wording of what is said of a broken rule; an open place takes the value or id in question.
+SAID = {
+    "no window": "completion_window is required",
+    "bad window": "completion_window must be a valid duration (e.g., 24h)",
+    "no endpoint": "endpoint is required",
+    "bad endpoint": "invalid endpoint: ",
+    "no input file": "input_file_id is required",
+    "no anchor": "output_expires_after.anchor is required",
+    "bad expiry": "output_expires_after.seconds must be between 3600 (1 hour) and 2592000 (30 days)",
+    "no id": "ID is empty",
+    "no slo": "SLO is zero for ID ",
+    "bad ttl": "TTL is invalid for ID ",
+}
 #: How long output may live, in seconds.
 EXPIRY = (3600, 2592000)
 
@@ -24,33 +37,31 @@ def _blank(c: Column) -> Column:
 def batch_request_error(window: Column, endpoint: Column, input_file: Column, expiry: Column | None = None) -> Column:
     """The first rule a request for a new job breaks; expiry is a struct of seconds and anchor, or null."""
     chain = (
-        F.when(_blank(window), "completion_window is required")
-        .when(~is_duration(window), "completion_window must be a valid duration (e.g., 24h)")
-        .when(_blank(endpoint), "endpoint is required")
-        .when(~endpoint.isin(*END_POINTS), F.concat(F.lit("invalid endpoint: "), endpoint))
-        .when(_blank(input_file), "input_file_id is required")
+        F.when(_blank(window), SAID["no window"])
+        .when(~is_duration(window), SAID["bad window"])
+        .when(_blank(endpoint), SAID["no endpoint"])
+        .when(~endpoint.isin(*END_POINTS), F.concat(F.lit(SAID["bad endpoint"]), endpoint))
+        .when(_blank(input_file), SAID["no input file"])
     )
     if expiry is not None:
         seconds = F.coalesce(expiry["seconds"], F.lit(0))
-        chain = chain.when(expiry.isNotNull() & _blank(expiry["anchor"]), "output_expires_after.anchor is required").when(
-            expiry.isNotNull() & ~seconds.between(*EXPIRY), f"output_expires_after.seconds must be between {EXPIRY[0]} (1 hour) and {EXPIRY[1]} (30 days)"
-        )
+        chain = chain.when(expiry.isNotNull() & _blank(expiry["anchor"]), SAID["no anchor"]).when(expiry.isNotNull() & ~seconds.between(*EXPIRY), SAID["bad expiry"])
     return chain
 
 
 def job_error(id_: Column, slo: Column, ttl: Column) -> Column:
     return (
-        F.when(_blank(id_), "ID is empty")
-        .when(slo.isNull(), F.concat(F.lit("SLO is zero for ID "), id_))
-        .when(F.coalesce(ttl, F.lit(0)) <= 0, F.concat(F.lit("TTL is invalid for ID "), id_))
+        F.when(_blank(id_), SAID["no id"])
+        .when(slo.isNull(), F.concat(F.lit(SAID["no slo"]), id_))
+        .when(F.coalesce(ttl, F.lit(0)) <= 0, F.concat(F.lit(SAID["bad ttl"]), id_))
     )
 
 
 def event_error(id_: Column, kind: Column, ttl: Column) -> Column:
     return (
-        F.when(_blank(id_), "ID is empty")
+        F.when(_blank(id_), SAID["no id"])
         .when(~F.coalesce(kind, F.lit(-1)).between(0, 2), F.concat(F.lit("event type "), kind.cast("string"), F.lit(" is invalid for ID "), id_))
-        .when(F.coalesce(ttl, F.lit(0)) <= 0, F.concat(F.lit("TTL is invalid for ID "), id_))
+        .when(F.coalesce(ttl, F.lit(0)) <= 0, F.concat(F.lit(SAID["bad ttl"]), id_))
     )
 
 
