@@ -108,7 +108,7 @@ def _word(word: str) -> np.ndarray:
 def scores(text: str) -> dict[str, float]:
     """Log-likelihood of each language; empty for a text without words."""
     words = WORD.findall(text.lower())
-    return dict(zip(_model()[0], sum(map(_word, words), np.zeros(len(SAMPLES))).tolist())) if words else {}
+    return dict(zip(_model()[0], np.add.reduce(list(map(_word, words))).tolist())) if words else {}
 
 
 def language(text: str) -> str | None:

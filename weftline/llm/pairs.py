@@ -29,6 +29,7 @@ from weftline.session import cut
 
 PAIR = "request_id string, prompt_id bigint, marks array<bigint>, defect string, clauses array<string>, opening int, inner array<string>, ends array<string>, open_end string, open_word string, answer_id bigint"
 MARKS = 4
+SMALL = 100_000  # words that are broadcast; more of them are joined
 #: Where a statement has a clause of its own: signs, and words that set a clause against the one before.
 JOINT = re.compile(r"[;:–—]\s+|\s-\s|,\s+(?:but|yet|so|aber|doch|jedoch|daher|deshalb|mais|donc|alors|pero|así\s+que|por\s+eso|ma|mas|maar)\s+", re.I)
 #: What stands for no answer at all.
@@ -133,13 +134,14 @@ def _template(statement: str, pairs: set[tuple[str, str]]) -> str:
 
 def clauses(statement: str, pairs: set[tuple[str, str]]) -> list[str]:
     """The templates of a statement's clauses; a clause without words is none."""
-    return [t for c in JOINT.split(statement) if (t := _template(c.replace("’", "'"), pairs))]
+    return [t for c in JOINT.split(statement.replace("’", "'")) if (t := _template(c, pairs))]
 
 
 def _marks(question: str) -> list[int]:
     """MinHash values of the question's words: two questions agree in one as often as they have words in common."""
     words = {hash_of(w) for w in WORDS.findall(question.lower())} or {0}
-    return [min((w * m + m) % _PRIME for w in words) for m in _FACTORS]
+    # a mask laid over all hashes puts them in another order
+    return [min(map(m.__xor__, words)) for m in _MASKS]
 
 
 def wrong_language(question: str, answer: str, lead: float = 6.0) -> bool:
@@ -181,11 +183,13 @@ def _examine(request_id: str, params: str, response: str) -> tuple | None:
     pairs = set(zip(own, own[1:]))
     # every word that another one follows, with the word before it
     inner: set[str] = set()
+    # the opening is the first two statements, as the first may be no more than a courtesy
+    parts = []
     for s in said:
-        words = _template(s, pairs).split(" ")
+        own_clauses = clauses(s, pairs)
+        parts.append(own_clauses)
+        words = (own_clauses[0] if len(own_clauses) == 1 else _template(s.replace("’", "'"), pairs)).split(" ")
         inner.update(map(" ".join, zip(["", *words], words[:-1])))
-    # the opening is the first two statements, as the first may be no more than a courtesy
-    parts = [clauses(s, pairs) for s in said]
     # endings: the last two words of every statement that is closed by a sign, or by the end of its list item
     lines = [line for line in answer.split("\n") if line.strip()]
     last = lines[-1].rstrip()
@@ -208,11 +212,10 @@ def _examine(request_id: str, params: str, response: str) -> tuple | None:
 
 
 def _last_words(statement: str) -> str:
-    return " ".join(("0" if w.isdigit() else w) for w in WORDS.findall(statement.lower())[-2:])
+    return " ".join(("0" if w.isdigit() else w) for w in WORDS.findall(statement.lower().replace("’", "'"))[-2:])
 
 
-_PRIME = (1 << 61) - 1
-_FACTORS = tuple(pow(7, 11 + 5 * i, _PRIME) for i in range(MARKS))
+_MASKS = tuple(pow(7, 11 + 5 * i, (1 << 61) - 1) for i in range(MARKS))
 
 
 def hash_of(text: str) -> int:
@@ -320,7 +323,10 @@ def find(requests: DataFrame, responses: DataFrame) -> DataFrame:
     word_ends = endings.select("answer_id", F.substring_index("end", " ", -1).alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("word_ends"))
     # a pair goes on if a word follows it, as does a word; an item's own last words do not
     inner = pairs.select("answer_id", F.explode("inner").alias("end")).withColumn("word", F.substring_index("end", " ", -1))
-    inner = cut(inner.join(items.select("word").distinct(), "word", "left_semi").distinct())
+    asked_of = cut(items.select("word").distinct())
+    if asked_of.limit(SMALL + 1).count() <= SMALL:
+        asked_of = F.broadcast(asked_of)
+    inner = cut(inner.join(asked_of, "word", "left_semi").distinct())
     pair_inner = inner.select("end").distinct().withColumn("goes_on", F.lit(True))
     word_inner = inner.select("answer_id", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("word_inner"))
     settled = (
