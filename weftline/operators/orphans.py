@@ -93,9 +93,10 @@ def cascade(tables: Mapping[str, DataFrame], edges: list[Edge], parents: Mapping
     A key is orphaned if any row that carries it is. Empty tables are allowed.
     """
     # all references once, in narrow columns; each round reads only those to the tables it comes from
-    refs = cut(_union([references(tables[e.child], e, parents[e.child].key if e.child in parents else None) for e in edges]).distinct())
+    refs = cut(_union([references(tables[e.child], e, parents[e.child].key if e.child in parents else None) for e in edges]))
     found = _union([direct(refs.where(F.col("parent") == name), lifetimes(tables[name], p)) for name, p in parents.items()])
-    found = cut(found.withColumn("inherited", F.lit(False)).withColumn("depth", F.lit(0)))
+    # equal references are folded where they are few: among the orphans
+    found = cut(found.distinct().withColumn("inherited", F.lit(False)).withColumn("depth", F.lit(0)))
     rounds, depth = [found], 0
     followed = {e.parent for e in edges} & {e.child for e in edges}
     seen: DataFrame | None = None
@@ -110,7 +111,7 @@ def cascade(tables: Mapping[str, DataFrame], edges: list[Edge], parents: Mapping
             break
         seen = lost if seen is None else seen.unionByName(lost)
         new = refs.where(F.col("parent").isin(*reached)).join(lost, ["parent", "ref"], "left_semi").join(found.select(*same), same, "left_anti")
-        rounds.append(cut(new.select(*refs.columns, F.lit("inherited").alias("orphan_kind"), F.lit(True).alias("inherited"), F.lit(depth).alias("depth"))))
+        rounds.append(cut(new.distinct().select(*refs.columns, F.lit("inherited").alias("orphan_kind"), F.lit(True).alias("inherited"), F.lit(depth).alias("depth"))))
     return _union(rounds).drop("own_key", "parent")
 
 
